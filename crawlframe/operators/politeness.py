@@ -39,7 +39,7 @@ def time_chunks(rows: DataFrame, parts: int | None = None) -> DataFrame:
     ``_cut`` tells cut authorities from the others, whose only chunk is 0.
     """
     hot = F.broadcast(hot_keys(rows, "authority", parts))
-    steps = f"transform(sequence(1, {GRID - 1}), i -> i / {GRID}D)"
+    steps = "array(" + ", ".join(f"{i / GRID}D" for i in range(1, GRID)) + ")"
     cuts = (
         rows.select("authority", F.unix_micros("start").alias("at"))
         .join(hot, "authority")

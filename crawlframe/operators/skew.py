@@ -37,7 +37,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(limit.rstrip("b")[-1:], 1)
     allowed = int(limit.rstrip("bkmg")) * unit
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= allowed
+    return int(str(size)) <= allowed
 
 
 def split_join(

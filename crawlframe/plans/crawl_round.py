@@ -25,17 +25,13 @@ class Round:
     rejects: DataFrame
 
 
-def allowed_fetches(fetched: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fetches that robots.txt allows. Bodies stay where they are.
-
-    Only ids and URL parts meet the rules; bodies are joined back by page_id.
-    """
+def barred_pages(fetched: DataFrame, rules: DataFrame) -> DataFrame:
+    """Ids of the fetches that robots.txt does not allow, from narrow rows only."""
     parsed = parse_urls(fetched.select("page_id", "url"), "url").filter("u.error IS NULL")
     keys = parsed.selectExpr(
         "page_id", "u.authority AS authority", "u.path AS path", "u.query AS query"
     )
-    barred = robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'")
-    return fetched.join(barred.select("page_id"), "page_id", "left_anti")
+    return robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'").select("page_id")
 
 
 def seed_links(fetched: DataFrame, rules: DataFrame) -> DataFrame:
@@ -76,14 +72,15 @@ def crawl_round(
 ) -> Round:
     """Links of ``fetched`` (page_id, url, body, context) merged into the frontier.
 
-    The links are written once: they are narrow beside the bodies, and the
-    bodies are then read and parsed a single time.
+    Bodies are never shuffled: links leave them in the task that reads them, and
+    the gate for the page itself applies to its links. The links are written
+    once, so the bodies are parsed a single time.
     """
     chosen = extractors or dispatch.default_extractors()
-    fetched = allowed_fetches(fetched, rules)
-    links = written(
-        dispatch.extract_outlinks(fetched, chosen).unionByName(seed_links(fetched, rules)), "links"
-    )
+    barred = written(barred_pages(fetched, rules), "barred")
+    pages = fetched.select("page_id", "url").join(barred, "page_id", "left_anti")
+    found = dispatch.extract_outlinks(fetched, chosen).join(barred, "page_id", "left_anti")
+    links = written(found.unionByName(seed_links(pages, rules)), "links")
     gated = written(gated_links(links, rules), "gated")
     kept = gated.filter("decision = 'Allowed'")
     offered = written(frontier.offered_urls(kept), "offered")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import posixpath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,21 +27,18 @@ class FrontierStore:
     def read(self, table: str, before: int | None = None) -> DataFrame:
         """``domain`` or ``url``, optionally only the batches before ``before``.
 
-        The batch is a partition column, so later batches are not even listed
-        for reading.
+        The batch is a partition column, so later batches are not read. A table
+        that does not exist yet is empty.
         """
         schema = schemas.DOMAIN if table == "domain" else schemas.URL
-        self._touch(table, schema)
-        rows = self.spark.read.schema(schema).parquet(self._path(table))
+        try:
+            rows = self.spark.read.schema(schema).parquet(self._path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], T.StructType.fromDDL(schema))
         return rows if before is None else rows.filter(F.col("batch_id") < before)
 
-    def _touch(self, table: str, schema: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            empty = self.spark.createDataFrame([], T.StructType.fromDDL(schema))
-            empty.write.mode("append").partitionBy("batch_id").parquet(self._path(table))
-
     def write(self, table: str, rows: DataFrame) -> None:
         """Write new rows; the partitions they name are replaced."""
         (

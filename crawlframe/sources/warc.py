@@ -97,7 +97,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name = f"archive_{self.job}_{task.partitionId():05d}_{len(names):03d}{SUFFIX}"
                     names.append(posixpath.join(str(task.taskAttemptId()), name))
-                    out, size = files.open_output_stream(posixpath.join(folder, name)), 0
+                    target = posixpath.join(folder, name)
+                    out, size = files.open_output_stream(target, compression=None), 0
                 out.write(_member(record, self.level))
                 size += len(record)
                 if size > self.limit:
