@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions.bodies import body_text
 from crawlframe.operators.links import html_outlinks
 from crawlframe.operators.sitemaps import entries
+from crawlframe.schemas import PARSED_URL
 
 OUTLINK = ("page_id", "pos", "base_url", "href", "rel", "context", "u")
 
@@ -35,7 +36,10 @@ def sitemap_extractor(fetched: DataFrame) -> DataFrame:
 
 def feed_extractor(fetched: DataFrame) -> DataFrame:
     """Feeds give no links yet."""
-    return html_extractor()(fetched).filter(F.lit(False))
+    return fetched.filter(F.lit(False)).selectExpr(
+        "page_id", "0 AS pos", "url AS base_url", "url AS href", "url AS rel", "context",
+        f"cast(NULL AS {PARSED_URL}) AS u",
+    )
 
 
 def default_extractors(allowed_hosts: Sequence[str] | None = None) -> dict[str, Extractor]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.operators.skew import split_join, with_dense_ids
+from crawlframe.session import written
 
 KEY = ("name", "path", "query")
 
@@ -70,7 +71,9 @@ def insert(
     Names meet the domain table once. Known URLs are removed by a null-safe
     anti-join on (domain_id, path, query), which spreads even one huge domain.
     Ids are assigned last and only to new rows. An empty offer inserts nothing.
+    The offer is written first, because two branches read it.
     """
+    offered = written(offered, "offered")
     new_domains = with_dense_ids(
         new_domain_names(offered, domain), ["name"], "domain_id", next_id(domain, "domain_id")
     ).select("domain_id", "name", F.lit(batch_id).cast("bigint").alias("batch_id"))

@@ -14,10 +14,8 @@ FLOOR_US = 150_000
 WAIT_FACTOR = 3
 GRID = 1000  # most pieces that one busy authority is cut into
 
-LAST_TEN = f"""slice(flatten(collect_list(t) OVER (PARTITION BY authority ORDER BY _chunk
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    -least({SAMPLES}, size(flatten(collect_list(t) OVER (PARTITION BY authority ORDER BY _chunk
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))), {SAMPLES})"""
+EARLIER = """flatten(collect_list(t) OVER (PARTITION BY authority ORDER BY _chunk
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def clamped(log: DataFrame) -> DataFrame:
@@ -79,7 +77,11 @@ def samples_before(chunked: DataFrame) -> DataFrame:
     return (
         chunks.join(tails, ["authority", "_chunk"], "left")
         .selectExpr("authority", "_chunk", "coalesce(t, array()) AS t")
-        .selectExpr("authority", "_chunk", f"{LAST_TEN} AS before")
+        .selectExpr("authority", "_chunk", f"{EARLIER} AS _all")
+        .selectExpr(
+            "authority", "_chunk",
+            f"slice(_all, greatest(1, size(_all) - {SAMPLES - 1}), {SAMPLES}) AS before",
+        )
         .filter("size(before) > 0")
     )
 
@@ -106,7 +108,7 @@ def politeness(log: DataFrame, parts: int | None = None) -> DataFrame:
         summed.join(F.broadcast(samples_before(chunked)), ["authority", "_chunk"], "left")
         .selectExpr(
             "authority", "_chunk", "event_id", "start", "before",
-            f"coalesce(least(cast({SAMPLES} - _count AS int), size(before)), 0) AS _take",
+            f"least(cast({SAMPLES} - _count AS int), coalesce(size(before), 0)) AS _take",
             f"""CASE WHEN _take > 0 THEN {total('slice(before, -_take, _take)')}
                 ELSE 0L END AS _earlier""",
             "CASE WHEN ok THEN (_sum + _earlier) DIV (_count + _take) END AS _avg",

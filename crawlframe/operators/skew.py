@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,23 +79,17 @@ def with_dense_ids(df: DataFrame, order: Sequence[str], column: str, first: int)
     """Number the rows ``first``, ``first + 1``, … by ``order`` without a global sort in one task.
 
     Rows are range-partitioned and sorted, written once with their place inside
-    the partition, and shifted by the row counts of the partitions before. The
-    shifts are one row per partition.
+    the partition, and shifted by the row counts of the partitions before. Only
+    those counts, one number per partition, pass through the driver.
     """
     placed = written(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id()),
         "ids",
-    ).withColumn("_part", F.shiftright("_at", ROW_BITS))
-    shifts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
-        "_part",
-        "coalesce(sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING"
-        " AND 1 PRECEDING), 0) AS _shift",
-    )
+    ).withColumn("_part", F.shiftright("_at", ROW_BITS).cast("int"))
+    counts = dict(placed.groupBy("_part").count().collect())
+    shifts = list(accumulate((counts.get(p, 0) for p in range(max(counts, default=0))), initial=first))
     place = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return (
-        placed.join(F.broadcast(shifts), "_part")
-        .withColumn(column, (F.lit(first) + F.col("_shift") + place).cast("bigint"))
-        .drop("_at", "_part", "_shift")
-    )
+    shift = F.lit(shifts).cast("array<bigint>")[F.col("_part")]
+    return placed.withColumn(column, shift + place).drop("_at", "_part")

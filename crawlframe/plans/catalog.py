@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crawlframe import schemas
 from crawlframe.operators import archive, dispatch, frontier, links, politeness, robots, sitemaps, urls
@@ -48,19 +47,14 @@ def _with_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _empty(spark: SparkSession) -> Tables:
-    return tuple(
-        spark.createDataFrame([], T.StructType.fromDDL(s)) for s in (schemas.DOMAIN, schemas.URL)
-    )
+    return schemas.empty(spark, schemas.DOMAIN), schemas.empty(spark, schemas.URL)
 
 
 def _merge(spark: SparkSession, found: DataFrame, tables: Tables, batch_id: int) -> Tables:
-    """Both frontier tables after one insert, written so that ids stay fixed."""
+    """Both frontier tables after one insert."""
     domain, url = tables
     new_domains, new_urls = frontier.insert(frontier.offered_urls(found), domain, url, batch_id)
-    return (
-        domain.unionByName(written(new_domains, "domain")),
-        url.unionByName(written(new_urls, "url")),
-    )
+    return domain.unionByName(new_domains), url.unionByName(new_urls)
 
 
 def _known(spark: SparkSession, sf: str) -> Tables:

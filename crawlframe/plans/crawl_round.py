@@ -21,7 +21,6 @@ class Round:
 
     new_domains: DataFrame
     new_urls: DataFrame
-    offered: DataFrame
     rejects: DataFrame
 
 
@@ -83,8 +82,7 @@ def crawl_round(
     links = written(found.unionByName(seed_links(pages, rules)), "links")
     gated = written(gated_links(links, rules), "gated")
     kept = gated.filter("decision = 'Allowed'")
-    offered = written(frontier.offered_urls(kept), "offered")
-    new_domains, new_urls = frontier.insert(offered, domain, url, batch_id)
+    new_domains, new_urls = frontier.insert(frontier.offered_urls(kept), domain, url, batch_id)
     rejects = (
         gated.filter("decision <> 'Allowed'")
         .selectExpr("'robots' AS stage", "u.url AS key", "lower(decision) AS reason")
@@ -98,4 +96,4 @@ def crawl_round(
             )
         )
     )
-    return Round(new_domains, new_urls, offered, rejects)
+    return Round(new_domains, new_urls, rejects)

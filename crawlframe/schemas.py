@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 CONTEXTS = ("Sitemap", "SitemapLink", "Feed", "FeedLink", "Other", "Img", "Style", "Script")
 
 PAGES = "page_id bigint, url string, html string"
@@ -39,3 +43,14 @@ REJECTS = "stage string, key string, reason string"
 WARC_RECORDS = (
     "record_id string, target_uri string, warc_date string, content_length bigint, record binary"
 )
+
+PARSED_URL = (
+    "struct<scheme:string,authority:string,domain:string,path:string,query:string,"
+    "fragment:string,url:string,error:string>"
+)
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, of known size to the optimizer."""
+    fields = T.StructType.fromDDL(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

@@ -11,7 +11,6 @@ import posixpath
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crawlframe import schemas
 
@@ -36,7 +35,7 @@ class FrontierStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], T.StructType.fromDDL(schema))
+            rows = schemas.empty(self.spark, schema)
         return rows if before is None else rows.filter(F.col("batch_id") < before)
 
     def write(self, table: str, rows: DataFrame) -> None:

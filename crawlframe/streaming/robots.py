@@ -12,6 +12,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from crawlframe import schemas
 from crawlframe.operators.robots import run_heads
 
 STATE = "authority string, access string, updated timestamp, first_tried timestamp"
@@ -21,7 +22,7 @@ def snapshot(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     """State after a micro-batch; before the first one it is empty."""
     if batch_id >= 0:
         return spark.read.schema(STATE).parquet(posixpath.join(root, f"batch_id={batch_id}"))
-    return spark.createDataFrame([], STATE)
+    return schemas.empty(spark, STATE)
 
 
 def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
