@@ -1,7 +1,9 @@
 """Anchor scanning with one regular expression that follows HTML tokenisation.
 
 Every quantifier is possessive or lazy over single characters, so matching
-neither recurses nor backtracks on long documents.
+neither recurses nor backtracks on long documents. A tag that never ends takes
+the rest of the document, as the HTML standard has it, so no part is scanned
+again and again.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ TOKEN = (
     r"(?is)<(?:"
     rf"{ANCHOR}"
     r"|!--(?:-?>|.*?(?:--!?>|\z))"
-    r"|[!?][^>]*+>"
-    r"|/[^a-z>][^>]*+>"
+    r"|[!?][^>]*+(?:>|\z)"
+    r"|/[^a-z>][^>]*+(?:>|\z)"
     rf"|({RAW_TEXT})(?=[{WS}/>]){ANY_ATTRIBUTES}>.*?(?:</\2(?=[{WS}/>])|\z)"
-    rf"|/?[a-z][^{WS}/>]*+{ANY_ATTRIBUTES}>)"
+    rf"|/?[a-z][^{WS}/>]*+{ANY_ATTRIBUTES}>"
+    r"|/?[a-z].*)"
 )
 ANCHOR_GROUP = 1
 

@@ -8,7 +8,7 @@ from crawlframe.functions.urls import percent_encode
 RULES_TYPE = "array<struct<rx:string,len:int,allow:boolean,prefix:string,wild:boolean>>"
 RETRY_SECONDS = 84000
 
-COMMENT = r"#[^\r\n]*|^﻿"
+COMMENT = r"#[^\r\n]*|^\x{FEFF}"
 RULE_LINE = r"(?im)^[ \t]*(?:user-agent|allow|disallow)[ \t]*:[^\r\n]*"
 SITEMAP_LINE = r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*([^\r\n]*)"
 GROUP = r"(?:u:[^\n]*+\n)++(?:[ad]:[^\n]*+\n)*+"

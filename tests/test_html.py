@@ -93,10 +93,11 @@ def test_long_documents_neither_overflow_nor_hang(spark):
         "<a " + "x " * 200_000 + "href=1>",
         '<a title="' + "y" * 1_000_000 + '" href=2>',
         "<!--" + "-" * 500_000 + "--><a href=3>",
-        "<a href=4>" + "<b " * 20_000,
+        "<a href=4>" + "<b " * 200_000,
+        "<a href=4>" + "<b x='" * 200_000,
         "<p>" * 50_000 + "<a href=5>",
     ]
-    assert [d[0][0] if d else None for d in extract(spark, docs)] == ["1", "2", "3", "4", "5"]
+    assert [d[0][0] if d else None for d in extract(spark, docs)] == ["1", "2", "3", "4", "4", "5"]
 
 
 def test_pages_without_links_count_zero(spark):
