@@ -13,7 +13,7 @@ RULE_LINE = r"(?im)^[ \t]*(?:user-agent|allow|disallow)[ \t]*:[^\r\n]*"
 SITEMAP_LINE = r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*([^\r\n]*)"
 GROUP = r"(?:u:[^\n]*+\n)++(?:[ad]:[^\n]*+\n)*+"
 META = r"([\\^$.|?*+()\[\]{}])"
-PATTERN_SAFE = r"\x21-\x7E"
+PATTERN_UNSAFE = r"\x00-\x20\x7F-\x{10FFFF}"
 
 
 def access(status: str) -> str:
@@ -66,7 +66,7 @@ def rule(line: str) -> str:
     fields = f"""named_struct('rx', {rx}, 'len', length(p), 'allow', startswith({line}, 'a'),
         'prefix', regexp_extract(p, '^([^*]*?)(?:\\\\*|\\\\$$|$)', 1),
         'wild', p RLIKE '\\\\*|\\\\$$')"""
-    pattern = percent_encode(f"substr({line}, 3)", PATTERN_SAFE)
+    pattern = percent_encode(f"substr({line}, 3)", PATTERN_UNSAFE)
     return f"transform(array({pattern}), p -> {fields})[0]"
 
 

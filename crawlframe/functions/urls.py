@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from crawlframe.functions.sql import text
 
-# The characters that the URL standard leaves as they are in a
-# path, in a query of a special scheme, and in user information.
-PATH_SAFE = r"\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7A\x7C\x7E"
-QUERY_SAFE = r"\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E"
-USERINFO_SAFE = r"\x21\x24-\x2E\x30-\x39\x41-\x5A\x5F\x61-\x7A\x7E"
+# The characters that the URL standard percent-encodes in a path,
+# in a query of a special scheme, and in user information. As regular-expression
+# classes they list single characters, which match far faster than many ranges.
+PATH_UNSAFE = r'\x00-\x20"<>`{}\x7F-\x{10FFFF}'
+QUERY_UNSAFE = r"""\x00-\x20"#<>'\x7F-\x{10FFFF}"""
+USERINFO_UNSAFE = r'\x00-\x20"#<>?`{}/:;=@\[\\\]^|\x7F-\x{10FFFF}'
 
 # Code points that no host may hold.
 HOST_FORBIDDEN = r'[\x00-\x20"#%/:<>?@\[\\\]^`{|}\x7F]'
 
+BLANK = r"[\x00-\x20]"
 OUTER_BLANK = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 HOST_OF_PAIR = r"^(\[[^\]]*\]|[^:]*)(?::[0-9]*)?$"
 PORT_OF_PAIR = r"^(?:\[[^\]]*\]|[^:]*):0*([0-9]+)$"
-ENDS_IN_NUMBER = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"
+NUMBER_LABEL = r"^(?:[0-9]+|0x[0-9a-f]*)$"
 BRACKETED = r"^\[[0-9a-f:.]*:[0-9a-f:.]*\]$"
 DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
 ONE_DOT = r"(?i)^(?:\.|%2e)$"
@@ -26,17 +28,26 @@ TWO_DOTS = r"(?i)^(?:\.|%2e){2}$"
 
 def clean(raw: str) -> str:
     """Drop outer control characters and spaces, and tabs and line ends anywhere."""
-    return f"regexp_replace({raw}, {text(OUTER_BLANK)}, '')"
+    return f"""CASE WHEN {raw} RLIKE {text(BLANK)}
+        THEN regexp_replace({raw}, {text(OUTER_BLANK)}, '') ELSE {raw} END"""
 
 
-def percent_encode(value: str, safe: str) -> str:
-    """Write every character outside ``safe`` as the %XX of its UTF-8 bytes."""
-    unsafe, start = text(f"[^{safe}]"), text(f"^[{safe}]")
-    runs = text(f"[{safe}]+|[^{safe}]+")
-    return f"""CASE WHEN {value} RLIKE {unsafe} THEN array_join(transform(
+def ends_in_number(host: str) -> str:
+    """Whether the last label is a number, which makes the host an IPv4 address."""
+    label = f"substring_index(regexp_replace({host}, '\\\\.$', ''), '.', -1)"
+    plain = f"substring_index({host}, '.', -1)"
+    return f"""(CASE WHEN endswith({host}, '.') THEN {label} ELSE {plain} END
+        RLIKE {text(NUMBER_LABEL)})"""
+
+
+def percent_encode(value: str, unsafe: str) -> str:
+    """Write every character of the class ``unsafe`` as the %XX of its UTF-8 bytes."""
+    some, start = text(f"[{unsafe}]"), text(f"^[{unsafe}]")
+    runs = text(f"[{unsafe}]+|[^{unsafe}]+")
+    return f"""CASE WHEN {value} RLIKE {some} THEN array_join(transform(
         regexp_extract_all({value}, {runs}, 0),
-        p -> CASE WHEN p RLIKE {start} THEN p
-                  ELSE regexp_replace(hex(encode(p, 'UTF-8')), '(..)', '%$1') END), '')
+        p -> CASE WHEN p RLIKE {start}
+                  THEN regexp_replace(hex(encode(p, 'UTF-8')), '(..)', '%$1') ELSE p END), '')
         ELSE {value} END"""
 
 

@@ -50,12 +50,12 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
             ELSE concat(regexp_replace({of_base('path')}, '[^/]*$', ''), _p) END AS _raw_path""",
         "CASE WHEN _raw_path = '' THEN '/' ELSE _raw_path END AS _full_path",
         f"{U.remove_dot_segments('_full_path')} AS _plain_path",
-        f"{U.percent_encode('_plain_path', U.PATH_SAFE)} AS _path",
-        f"""CASE WHEN _q IS NOT NULL THEN {U.percent_encode('_q', U.QUERY_SAFE)}
+        f"{U.percent_encode('_plain_path', U.PATH_UNSAFE)} AS _path",
+        f"""CASE WHEN _q IS NOT NULL THEN {U.percent_encode('_q', U.QUERY_UNSAFE)}
             WHEN NOT _net AND _p = '' THEN {of_base('query')} END AS _query""",
         """CASE WHEN contains(_h, '%') THEN lower(try_url_decode(replace(_h, '+', '%2B')))
             ELSE _h END AS _host""",
-        f"_host RLIKE {text(U.ENDS_IN_NUMBER)} AS _four",
+        f"{U.ends_in_number('_host')} AS _four",
         f"CASE WHEN _four THEN {U.ipv4_text('_host')} END AS _ip",
         "startswith(_host, '[') AS _six",
         f"CASE WHEN _web THEN _s ELSE {of_base('scheme')} END AS _scheme",
@@ -63,9 +63,9 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
         "substring_index(_user, ':', 1) AS _name",
         "substr(_user, length(_name) + 2) AS _secret",
         f"""CASE WHEN _user IS NULL OR _user IN ('', ':') THEN '' ELSE concat(
-            {U.percent_encode('_name', U.USERINFO_SAFE)},
+            {U.percent_encode('_name', U.USERINFO_UNSAFE)},
             CASE WHEN _secret = '' THEN '' ELSE
-                concat(':', {U.percent_encode('_secret', U.USERINFO_SAFE)}) END,
+                concat(':', {U.percent_encode('_secret', U.USERINFO_UNSAFE)}) END,
             '@') END AS _login""",
         f"""CASE WHEN _net THEN concat(_login, coalesce(_ip, _host),
             CASE WHEN _port IN ('', _default) THEN '' ELSE concat(':', _port) END)
@@ -80,7 +80,7 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
             WHEN _host RLIKE {text(U.HOST_FORBIDDEN)} THEN 'bad_host'
             WHEN _host RLIKE '[^\\\\x00-\\\\x7F]' THEN 'idn_host'
             WHEN _four AND _ip IS NULL THEN 'bad_host'
-            WHEN length(_port) > 5 OR try_cast(_port AS int) > 65535 THEN 'bad_port'
+            WHEN length(_port) > 5 OR lpad(_port, 5, '0') > '65535' THEN 'bad_port'
             END AS _error""",
     ]
     outcome = {name: f"_{name}" for name in PARTS} | {"fragment": "_f"}
