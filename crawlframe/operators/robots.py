@@ -60,7 +60,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 def gate(urls: DataFrame, robots: DataFrame, spread: list[str]) -> DataFrame:
     """Add access, decision and retry_s to rows with authority, path and query."""
     rules = robots.select("authority", "access", "rules")
-    joined = split_join(urls, rules, "authority", spread)
+    joined = split_join(urls, rules, "authority", spread, store=True)
     kept = [f"`{c}`" for c in urls.columns]
     return joined.selectExpr(
         *kept,

@@ -48,15 +48,20 @@ def split_join(
     spread: Sequence[str],
     how: str = "left",
     parts: int | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Equi-join of many rows to one row per key, safe when a key is hot on the left.
 
     A small ``right`` needs no shuffle, so Spark joins it as it likes. Otherwise
     rows of hot keys are dealt over several pieces by a hash of the ``spread``
-    columns, and only their single right-hand rows are repeated per piece.
+    columns, and only their single right-hand rows are repeated per piece. The
+    left side is read twice then; ``store`` writes it first where computing it
+    costs more than a copy.
     """
     if fits_broadcast(right):
         return left.join(right, key, how)
+    if store:
+        left = written(left, "left")
     hot = F.broadcast(written(hot_keys(left, key, parts), "hot"))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     dealt = (

@@ -150,8 +150,14 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
     return robots.robots_table(X.robots(spark, sf), X.BOT)
 
 
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    """The fetch log as the stored, narrow table that it is outside of tests."""
+    return written(X.fetch_log(spark, sf), "log")
+
+
 def robots_state(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain_times(robots.robots_state(X.fetch_log(spark, sf), X.lookups(spark, sf)))
+    log = _log(spark, sf)
+    return _plain_times(robots.robots_state(log, X.lookups(log)))
 
 
 def _plain_times(state: DataFrame) -> DataFrame:
@@ -216,7 +222,7 @@ def _log_slices(spark: SparkSession, log: DataFrame) -> list[DataFrame]:
 
 
 def stream_politeness(spark: SparkSession, sf: str) -> DataFrame:
-    log = written(X.fetch_log(spark, sf), "log")
+    log = _log(spark, sf)
     inbox, root, checkpoint = (fresh_path(spark, n) for n in ("inbox", "state", "progress"))
     for part in _log_slices(spark, log):
         part.write.mode("append").parquet(inbox)
@@ -226,7 +232,7 @@ def stream_politeness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
-    log = written(X.fetch_log(spark, sf), "log")
+    log = _log(spark, sf)
     inbox, root, checkpoint = (fresh_path(spark, n) for n in ("inbox", "state", "progress"))
     for part in _log_slices(spark, log):
         part.write.mode("append").parquet(inbox)
@@ -234,7 +240,7 @@ def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
         query = robots_stream.start(stream, root, checkpoint)
         query.awaitTermination()
     state = robots_stream.latest(spark, root, query)
-    found = X.lookups(spark, sf).join(state, "authority", "left")
+    found = X.lookups(log).join(state, "authority", "left")
     return _plain_times(
         found.withColumn("verdict", F.expr(robots.verdict("access", "updated", "now")))
     )
@@ -282,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "root_seeds": lambda s, d: robots.root_seeds(_with_roots(s, d), _rules(s, d)),
     "sitemap_entries": lambda s, d: sitemaps.sitemap_entries(X.sitemaps(s, d)),
     "robots_state": robots_state,
-    "politeness": lambda s, d: politeness.politeness(X.fetch_log(s, d)),
+    "politeness": lambda s, d: politeness.politeness(_log(s, d)),
     "fetch_schedule": fetch_schedule,
     "warc_records": warc_records,
     "warc_roundtrip": warc_roundtrip,

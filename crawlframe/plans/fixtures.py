@@ -116,11 +116,10 @@ def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lookups(spark: SparkSession, sf: str) -> DataFrame:
+def lookups(log: DataFrame) -> DataFrame:
     """When each site of the log is looked up: 0, 20 or 40 days after 31 January 2024."""
     return (
-        fetch_log(spark, sf)
-        .select("authority")
+        log.select("authority")
         .distinct()
         .selectExpr(
             "authority",
