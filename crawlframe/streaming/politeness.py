@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from crawlframe.operators.politeness import FLOOR_US, SAMPLES, WAIT_FACTOR
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SAMPLE = "authority string, start_us bigint, event_id bigint, d bigint"
 STATE = "authority string, avg_us bigint, until_us bigint"
@@ -72,20 +73,29 @@ def states(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 def start(log: DataFrame, root: str, checkpoint: str, ttl_ms: int | None = None) -> StreamingQuery:
-    """Follow ``log`` and write the changed states of each micro-batch to its own folder."""
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Follow ``log`` and write the changed states of each micro-batch to its own folder.
+
+    The keyed state needs the RocksDB store; the session's own choice is put back
+    once the query has started with it.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(posixpath.join(root, f"batch_id={batch_id}"))
 
-    return (
+    writer = (
         states(log, ttl_ms)
         .writeStream.foreachBatch(step)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    conf = log.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        conf.set(PROVIDER, before)
 
 
 def latest(spark: SparkSession, root: str) -> DataFrame:
