@@ -50,13 +50,17 @@ def seed_links(fetched: DataFrame, rules: DataFrame) -> DataFrame:
 def gated_links(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Links whose URL robots.txt allows.
 
-    Distinct URLs keep their first inlink, so each is matched once.
+    Distinct URLs, without fragment, keep their first inlink; each is matched once.
     """
-    first = links.groupBy("u").agg(
-        F.min(F.struct("page_id", "pos", "context")).alias("s")
-    ).selectExpr(
-        "u", "u.authority AS authority", "u.path AS path", "u.query AS query",
-        "s.page_id AS page_id", "s.pos AS pos", "s.context AS context",
+    parts = ["url", "authority", "domain", "path", "query"]
+    first = (
+        links.select("page_id", "pos", "context", *[F.col(f"u.{p}") for p in parts])
+        .groupBy(*parts)
+        .agg(F.min(F.struct("page_id", "pos", "context")).alias("s"))
+        .select(
+            F.struct(*parts).alias("u"),
+            "authority", "path", "query", "s.page_id", "s.pos", "s.context",
+        )
     )
     return robots.gate(first, rules, ["path", "query"])
 
