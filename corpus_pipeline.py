@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Every stage reads what its predecessor kept and returns the same columns; the
+last adds each document's slot and shard. The mix takes some documents twice,
+so its output repeats their rows.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +11,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import quality
+from crawlframe.llm import decontaminate, jaccard, maglev, mixing, quality
 from crawlframe.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands and the base rules keep."""
+    """Documents that the base rules and the compression bands keep."""
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose shingle sets link."""
+    return jaccard.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight asks for."""
+    return mixing.mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the slot and the shard that their ids look up."""
+    names = maglev.shard_names()
+    slots = maglev.table_size(len(names))
+    return maglev.assign(docs, maglev.lookup_table(spark, names, slots), "doc_id", slots)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing_sources", mixing_sources),
+    ("sharding", sharding),
 ]
 
-# Ratios of a compressor, prefix order and random rounding have no SQL form.
+# Ratios of a compressor and random rounding have no SQL form; tests compare each
+# stage with a plain version.
 ORACLE_SQL = None
 
 

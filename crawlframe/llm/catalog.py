@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import jaccard, quality
+from crawlframe.llm import decontaminate, jaccard, maglev, mixing, quality
 from crawlframe.llm.common import table
 
 
@@ -18,9 +18,56 @@ def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_sharding_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = maglev.shard_names()
+    slots = maglev.table_size(len(names))
+    placed = maglev.assign(table(spark, sf_dir, "documents"), maglev.lookup_table(spark, names, slots), "doc_id", slots)
+    return placed.select("doc_id", "slot", "shard")
+
+
+# The fill is one recursion over the turns; "taken" marks claimed slots.
+OP9_SQL = f"""
+WITH RECURSIVE orders AS (
+    SELECT k AS at, printf('shard-%04d', k) AS name,
+        ('0x' || substr(md5('start:' || printf('shard-%04d', k)), 1, 8))::BIGINT % {maglev.table_size(maglev.SHARDS)} AS first,
+        ('0x' || substr(md5('step:' || printf('shard-%04d', k)), 1, 8))::BIGINT % ({maglev.table_size(maglev.SHARDS)} - 1) + 1 AS step
+    FROM range({maglev.SHARDS}) AS r(k)
+), turns(t, slot, taken) AS (
+    SELECT -1::BIGINT, -1::BIGINT, list_transform(range({maglev.table_size(maglev.SHARDS)}), lambda x: false)
+    UNION ALL
+    SELECT n.t, n.slot, list_transform(n.taken, lambda x, i: x OR i = n.slot + 1)
+    FROM (
+        SELECT turns.t + 1 AS t, turns.taken AS taken,
+            list_filter(
+                list_transform(range({maglev.table_size(maglev.SHARDS)}), lambda j: (o.first + j * o.step) % {maglev.table_size(maglev.SHARDS)}),
+                lambda p: NOT turns.taken[p + 1]
+            )[1] AS slot
+        FROM turns JOIN orders AS o ON o.at = (turns.t + 1) % {maglev.SHARDS}
+        WHERE turns.t < {maglev.table_size(maglev.SHARDS)} - 1
+    ) AS n
+), keyed AS (
+    SELECT doc_id, ('0x' || substr(md5('key:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+        % {maglev.table_size(maglev.SHARDS)} AS slot
+    FROM documents
+)
+SELECT doc_id, keyed.slot, o.name AS shard
+FROM keyed JOIN turns ON turns.slot = keyed.slot JOIN orders AS o ON o.at = turns.t % {maglev.SHARDS}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_mixing_pivotal": op6_mixing_pivotal,
     "op7_quality_bands": op7_quality_bands,
+    "op8_decontamination_cgk": op8_decontamination_cgk,
+    "op9_sharding_maglev": op9_sharding_maglev,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_sharding_maglev": OP9_SQL}

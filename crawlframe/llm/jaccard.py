@@ -29,7 +29,7 @@ from crawlframe.llm.graph import components
 from crawlframe.session import written
 
 WIDTH = 5  # words in a shingle
-HOT_TOKENS = 1 << 17  # bound of the list of frequent tokens: 2 MB
+HOT_TOKENS = 1 << 18  # bound of the list of frequent tokens: 4 MB
 LEAST_HOT = 8  # a token in fewer sets is not listed
 BLOCK = 64  # sets in one block of an index list
 CACHED_WORDS = 400_000
@@ -163,15 +163,16 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 def shared_lists(classes: DataFrame) -> DataFrame:
     """Index lists with two sets or more: (token, cid, n, at, pivot, pivot_n, pivot_at).
 
-    A list is dealt by token and read as a stream. The pivot is the first set of
-    the same size band in the list. Lists of two are dropped at once if size or
-    position rule the pair out.
+    A list is dealt by token and read as a stream. The pivot is the set of the
+    same size band where the token comes earliest: an edited copy starts with
+    tokens of its own, so that is the set with the fewest edits. Lists of two are
+    dropped at once if size or position rule the pair out.
     """
     lists = (
         classes.select("cid", "n", F.posexplode("prefix").alias("at", "token"))
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
         .repartition("token")
-        .sortWithinPartitions("token", "band", "cid")
+        .sortWithinPartitions("token", "band", "at", "cid")
         .select("token", "band", "cid", "n", "at")
     )
     names = ["token", "cid", "n", "at", "pivot", "pivot_n", "pivot_at"]
@@ -284,6 +285,44 @@ def other_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose sets are in different groups so far."""
+    for side in "uv":
+        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        pairs = pairs.join(named, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs.filter("u_root != v_root").select("u", "v")
+
+
+def all_links(lists: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) that connect all that link, and the groups they make.
+
+    First every set is held against the pivot it meets most often, then against
+    its other pivots unless it is in their group by now, and at last against all
+    sets of other groups that no rule skips.
+    """
+    to_pivot = written(
+        lists.filter(
+            "cid != pivot and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)"
+            " and 4 * (n + pivot_n) <= 9 * least(n - at, pivot_n - pivot_at)"
+        )
+        .groupBy("cid", "pivot")
+        .agg(F.count(F.lit(1)).alias("shared")),
+        "to_pivot",
+    )
+    pair = (F.greatest("cid", "pivot").alias("u"), F.least("cid", "pivot").alias("v"))
+    best = to_pivot.groupBy("cid").agg(F.max(F.struct("shared", -F.col("pivot"))).alias("best"))
+    tried = written(best.select("cid", (-F.col("best.col2")).alias("pivot")).select(*pair).distinct(), "tried")
+    links = written(linked(tried, texts), "links")
+    roots = written(components(links), "roots")
+    others = to_pivot.select(*pair).distinct().join(tried, ["u", "v"], "left_anti")
+    others = written(with_roots(others, roots), "tried")
+    links = links.union(written(linked(others, texts), "links"))
+    roots = written(components(links), "roots")
+    rest = other_pairs(lists, roots).join(tried.union(others), ["u", "v"], "left_anti")
+    links = links.union(written(linked(rest, texts), "links"))
+    return links, components(links)
+
+
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) per row of ``docs``.
 
@@ -309,16 +348,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.id", "rep.text_key")
     texts = written(packed_texts(docs, key, text, wanted.toDF("cid", "rep", "rep_key")), "texts")
 
-    to_pivot = lists.filter(
-        "cid != pivot and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)"
-        " and 4 * (n + pivot_n) <= 9 * least(n - at, pivot_n - pivot_at)"
-    )
-    tried = written(to_pivot.select(F.greatest("cid", "pivot").alias("u"), F.least("cid", "pivot").alias("v")).distinct(), "tried")
-    links = written(linked(tried, texts), "links")
-    roots = written(components(links), "roots")
-    rest = other_pairs(lists, roots).join(tried, ["u", "v"], "left_anti")
-    more = written(linked(rest, texts), "more_links")
-    roots = components(links.union(more))
+    _, roots = all_links(lists, texts)
 
     named = classes.select("print", "cid", "least_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
