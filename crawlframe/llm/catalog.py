@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import decontaminate, jaccard, maglev, mixing, quality
+from crawlframe.llm import decontaminate, jaccard, licenses, maglev, mixing, quality, secrets
 from crawlframe.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -63,6 +71,8 @@ FROM keyed JOIN turns ON turns.slot = keyed.slot JOIN orders AS o ON o.at = turn
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_mixing_pivotal": op6_mixing_pivotal,
     "op7_quality_bands": op7_quality_bands,

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from crawlframe.llm.common import lower_words_of
 
-
 BLOCK = 8  # word pairs
+WINDOWS = 256  # embedded at a time
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Settings:
     """
 
     edit_share: float = 0.15
-    sampled: int = 3
+    sampled: int = 2
     recall: float = 0.99
     differs: float = 0.45
     least_words: int = 8
@@ -57,17 +57,18 @@ class Settings:
         return int(words * self.edit_share) if words >= self.least_words else 0
 
 
-def embed(windows: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings of equally long symbol sequences, one per row; 0 pads the end."""
+def embed(windows: np.ndarray, steps: int, seeds: np.ndarray) -> np.ndarray:
+    """CGK embeddings of equally long symbol sequences, one per row with its own seed; 0 pads the end."""
     rows, width = windows.shape
     at = np.zeros(rows, np.int64)
     padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
     out = np.empty((rows, steps), np.int64)
     line = np.arange(rows)
+    salt = seeds.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     for step in range(steps):
         symbol = padded[line, np.minimum(at, width)]
         out[:, step] = symbol
-        mixed = symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + step) * 0x2545F491 % (1 << 62))
+        mixed = (symbol.astype(np.uint64) + salt + np.uint64(step * 0x2545F491)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         at += ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
@@ -97,7 +98,8 @@ class Index:
     items: list[tuple[int, list[int]]] = field(default_factory=list)  # id, symbols
     pairs: np.ndarray | None = None
     lengths: dict[int, list[int]] = field(default_factory=dict)
-    tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    masks: dict[int, np.ndarray] = field(default_factory=dict)  # which pairs stand in items of a length
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # places, keys, owners
 
     def __post_init__(self) -> None:
         self.base = len(self.symbols) + 1
@@ -124,20 +126,26 @@ class Index:
         pick = np.random.default_rng(settings.seed)
         for length, members in made.lengths.items():
             grid = np.array([items[k][1] for k in members], np.int64)
-            made.tables[length] = []
-            for table in range(settings.tables()):
-                # Positions come from where the walk still reads symbols of the item.
-                places = np.sort(pick.choice(2 * length, size=min(settings.sampled, 2 * length), replace=False))
-                keys = made.keys(grid, places, table)
-                order = np.argsort(keys, kind="stable")
-                made.tables[length].append((table, places, keys[order], np.array(members)[order]))
+            own = (grid[:, :-1] * made.base + grid[:, 1:]).ravel()
+            made.masks[length] = np.isin(made.pairs, own)
+            # Positions come from where the walk still reads symbols of the item.
+            size = min(settings.sampled, 2 * length)
+            places = np.stack([pick.choice(2 * length, size=size, replace=False) for _ in range(settings.tables())])
+            keys = made.keys(grid, places)
+            order = np.argsort(keys, kind="stable")
+            made.tables[length] = (places, keys[order], np.repeat(members, len(places))[order])
         return made
 
-    def keys(self, windows: np.ndarray, places: np.ndarray, table: int) -> np.ndarray:
-        out = embed(windows, int(places[-1]) + 1, self.settings.seed + table)[:, places]
-        code = np.zeros(len(windows), np.uint64)
-        for k in range(out.shape[1]):
-            code = (code + out[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    def keys(self, windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The LSH keys of every window, one per table, window by window."""
+        count = len(places)
+        rows = np.repeat(windows, count, axis=0)
+        table = np.tile(np.arange(count), len(windows))
+        out = embed(rows, int(places.max()) + 1, table + self.settings.seed)
+        code = table.astype(np.uint64)
+        for k in range(places.shape[1]):
+            sampled = out[np.arange(len(rows)), places[table, k]]
+            code = (code + sampled.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(29)
         return code
 
@@ -154,7 +162,9 @@ class Index:
         # Spread over the blocks of a window, the broken pairs leave one block with few of them.
         dense = n > BLOCK and bool((total[BLOCK:] - total[:-BLOCK] >= self.dense).any())
         best: dict[int, tuple[int, int, int]] = {}
-        for length, members in self.lengths.items():
+        spots = np.flatnonzero(known)
+        which = at[spots]
+        for length in self.lengths:
             limit = self.settings.limit(length)
             if n < length - limit or (n >= length > BLOCK and not dense):
                 continue
@@ -164,19 +174,22 @@ class Index:
             if length == 1:
                 starts = np.flatnonzero(coded)
             else:
-                ends = np.minimum(np.arange(len(body) - length + 1) + length - 1, len(total) - 1)
-                inside = total[ends] - total[: len(body) - length + 1]
-                starts = np.flatnonzero(inside >= max(1, length - 1 - 2 * limit))
-            if not len(starts):
-                continue
-            windows = body[starts[:, None] + np.arange(length)]
+                own = spots[self.masks[length][which]]
+                least = max(1, length - 1 - 2 * limit)
+                if len(own) < least:
+                    continue
+                first = np.arange(len(body) - length + 1)
+                inside = np.searchsorted(own, first + length - 1) - np.searchsorted(own, first)
+                starts = np.flatnonzero(inside >= least)
             tried: set[tuple[int, int]] = set()
-            for table, places, keys, owners in self.tables[length]:
-                found = self.keys(windows, places, table)
+            places, keys, owners = self.tables[length]
+            for part in range(0, len(starts), WINDOWS):
+                some = starts[part : part + WINDOWS]
+                found = self.keys(body[some[:, None] + np.arange(length)], places)
                 low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
                 for row in np.flatnonzero(high > low):
                     for owner in owners[low[row] : high[row]]:
-                        tried.add((int(starts[row]), int(owner)))
+                        tried.add((int(some[row // len(places)]), int(owner)))
             for start, owner in sorted(tried):
                 edits = distance(coded[start : start + length].tolist(), self.items[owner][1], limit)
                 if edits is not None and (owner not in best or edits < best[owner][2]):
