@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import decontaminate, jaccard, licenses, maglev, mixing, quality, secrets
+from crawlframe.llm import chat, decontaminate, htmlmain, jaccard, licenses, maglev, mixing, quality, secrets, suffix_tree
 from crawlframe.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -26,6 +30,19 @@ def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(table(spark, sf_dir, "pages"))
+
+
+CONTROLLED = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROLLED), (-7, 1, "assistant", CONTROLLED)], rows.schema)
+    return chat.digests(chat.render(chat.fold(chat.events_of(rows.union(more)))))
+
+
 def op6_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +58,28 @@ def op9_sharding_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def _sql_escaped(column: str) -> str:
+    text = f"replace({column}, '\\', '\\\\')"
+    for word in chat.CONTROL:
+        text = f"replace({text}, '{word}', '{word[0]}\\{word[1:]}')"
+    return text
+
+
+OP5_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONTROLLED}'
+    UNION ALL SELECT -7, 1, 'assistant', '{CONTROLLED}'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum({len(chat.OPEN + chat.MID + chat.CLOSE)} + length(replace({_sql_escaped("role")}, chr(10), '\\n'))
+        + length({_sql_escaped("text")}))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 # The fill is one recursion over the turns; "taken" marks claimed slots.
 OP9_SQL = f"""
 WITH RECURSIVE orders AS (
@@ -73,11 +112,14 @@ FROM keyed JOIN turns ON turns.slot = keyed.slot JOIN orders AS o ON o.at = turn
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_tree_scores": op3_suffix_tree_scores,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_chat_events": op5_chat_events,
     "op6_mixing_pivotal": op6_mixing_pivotal,
     "op7_quality_bands": op7_quality_bands,
     "op8_decontamination_cgk": op8_decontamination_cgk,
     "op9_sharding_maglev": op9_sharding_maglev,
+    "op10_main_text": op10_main_text,
 }
 
-ORACLE: dict[str, str] = {"op9_sharding_maglev": OP9_SQL}
+ORACLE: dict[str, str] = {"op5_chat_events": OP5_SQL, "op9_sharding_maglev": OP9_SQL}

@@ -24,7 +24,7 @@ from crawlframe.session import written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2.0  # copies of a document
-PIECE = 20_000  # documents rounded in one task
+PIECE = 2_000  # documents rounded in one task
 FAN_IN = 256  # residuals combined in one task
 SLACK = 1e-9
 
