@@ -25,12 +25,16 @@ class Round:
 
 
 def barred_pages(fetched: DataFrame, rules: DataFrame) -> DataFrame:
-    """Ids of the fetches that robots.txt does not allow, from narrow rows only."""
-    parsed = parse_urls(fetched.select("page_id", "url"), "url").filter("u.error IS NULL")
-    keys = parsed.selectExpr(
+    """Ids of the fetches that robots.txt does not allow, from narrow rows only.
+
+    A page whose own URL cannot be parsed has no rules to pass and is barred too.
+    """
+    parsed = parse_urls(fetched.select("page_id", "url"), "url")
+    keys = parsed.filter("u.error IS NULL").selectExpr(
         "page_id", "u.authority AS authority", "u.path AS path", "u.query AS query"
     )
-    return robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'").select("page_id")
+    denied = robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'").select("page_id")
+    return denied.union(parsed.filter("u.error IS NOT NULL").select("page_id"))
 
 
 def seed_links(fetched: DataFrame, rules: DataFrame) -> DataFrame:

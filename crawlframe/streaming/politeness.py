@@ -47,8 +47,8 @@ class PolitenessState(StatefulProcessor):
         for batch in rows:
             values = batch[["start_us", "event_id", "d"]].itertuples(index=False, name=None)
             fresh = sorted([*fresh, *values])[-SAMPLES:]
-        kept = [tuple(s) for s in self.samples.get()] + fresh
-        kept = [tuple(int(v) for v in s) for s in kept[-SAMPLES:]]
+        # Late rows take their place by time, wherever they arrive.
+        kept = sorted(tuple(int(v) for v in s) for s in [*self.samples.get(), *fresh])[-SAMPLES:]
         self.samples.put(kept)
         average = sum(s[2] for s in kept) // len(kept)
         until = kept[-1][0] + WAIT_FACTOR * average

@@ -26,13 +26,17 @@ def snapshot(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
 
 
 def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after ``batch``; a run of failures may have begun before it."""
+    """State after ``batch``; a run of failures may have begun before it.
+
+    A delivery that is older than the state leaves it as it is.
+    """
     both = old.alias("o").join(run_heads(batch).alias("n"), "authority", "full")
+    late = "n.access IS NULL OR n.updated < o.updated"
     return both.selectExpr(
         "authority",
-        "coalesce(n.access, o.access) AS access",
-        "coalesce(n.updated, o.updated) AS updated",
-        """CASE WHEN n.access IS NULL THEN o.first_tried
+        f"CASE WHEN {late} THEN o.access ELSE n.access END AS access",
+        f"CASE WHEN {late} THEN o.updated ELSE n.updated END AS updated",
+        f"""CASE WHEN {late} THEN o.first_tried
            WHEN n.access = 'Unreachable' AND NOT n.had_ok AND o.access = 'Unreachable'
            THEN o.first_tried ELSE n.first_tried END AS first_tried""",
     )
