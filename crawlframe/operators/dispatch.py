@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.functions.bodies import body_text
-from crawlframe.operators.links import html_outlinks
-from crawlframe.operators.sitemaps import entries
+from crawlframe.operators.links import resolved
+from crawlframe.operators.sitemaps import all_entries
 from crawlframe.schemas import PARSED_URL
 
 OUTLINK = ("page_id", "pos", "base_url", "href", "rel", "context", "u")
@@ -21,7 +21,7 @@ Extractor = Callable[[DataFrame], DataFrame]
 def html_extractor(allowed_hosts: Sequence[str] | None = None) -> Extractor:
     def extract(fetched: DataFrame) -> DataFrame:
         pages = fetched.selectExpr("page_id", "url", f"{body_text('body')} AS html")
-        return html_outlinks(pages, allowed_hosts).select(*OUTLINK)
+        return resolved(pages, allowed_hosts).withColumn("context", F.lit("Other")).select(*OUTLINK, "reason")
 
     return extract
 
@@ -29,8 +29,8 @@ def html_extractor(allowed_hosts: Sequence[str] | None = None) -> Extractor:
 def sitemap_extractor(fetched: DataFrame) -> DataFrame:
     """Sitemap links pass no scheme, fragment, self or host filter."""
     docs = fetched.selectExpr("page_id", "url AS base_url", f"{body_text('body')} AS body")
-    return entries(docs).selectExpr(
-        "page_id", "pos", "base_url", "loc AS href", "cast(NULL AS string) AS rel", "context", "u"
+    return all_entries(docs).selectExpr(
+        "page_id", "pos", "base_url", "loc AS href", "cast(NULL AS string) AS rel", "context", "u", "reason"
     )
 
 
@@ -55,19 +55,29 @@ def best_context(inlinks: str) -> str:
     return f"coalesce(try_element_at({inlinks}, 1).context, 'Other')"
 
 
-def extract_outlinks(
+def extract_all(
     fetched: DataFrame, extractors: Mapping[str, Extractor] | None = None
 ) -> DataFrame:
-    """Links of each fetch by the extractor for its context (bag union).
+    """Links of each fetch by the extractor for its context (bag union), dropped ones with a ``reason``.
 
     ``fetched``: page_id, url, body, context. Each branch filters at the scan.
+    An extractor of one's own may leave out the column ``reason``.
     """
     chosen = extractors or default_extractors()
-    parts = [
-        extract(fetched.filter(F.col("context") == name)).select(*OUTLINK)
-        for name, extract in chosen.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def part(name: str, extract: Extractor) -> DataFrame:
+        rows = extract(fetched.filter(F.col("context") == name))
+        reason = F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string").alias("reason")
+        return rows.select(*OUTLINK, reason)
+
+    return reduce(DataFrame.unionByName, [part(*item) for item in chosen.items()])
+
+
+def extract_outlinks(
+    fetched: DataFrame, extractors: Mapping[str, Extractor] | None = None
+) -> DataFrame:
+    """The links that no reason drops."""
+    return extract_all(fetched, extractors).filter("reason IS NULL").select(*OUTLINK)
 
 
 def without_extractor(fetched: DataFrame, extractors: Mapping[str, Extractor]) -> DataFrame:

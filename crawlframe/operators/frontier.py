@@ -24,7 +24,7 @@ def keyed(links: DataFrame) -> DataFrame:
     """Frontier key of each link, with the reason that bars it, if any.
 
     Scheme, port, user information and fragment are not part of the key.
-    ``first`` orders the inlinks of one URL.
+    ``first`` orders the inlinks of one URL; seeds, which have no page, come last.
     """
     return links.selectExpr(
         "u.domain AS name",
@@ -32,7 +32,7 @@ def keyed(links: DataFrame) -> DataFrame:
         "u.query AS query",
         "u.url AS url",
         "context",
-        "struct(page_id, pos) AS first",
+        "struct(page_id IS NULL AS seed, page_id, pos) AS first",
         f"transform(array(u.domain), name -> {DOMAIN_PROBLEM})[0] AS reason",
     )
 

@@ -4,32 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from crawlframe.functions.sql import text
+from crawlframe.functions.sql import null_text, text
 from crawlframe.operators.urls import parse_urls
 
 SCHEMA = (
     "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
 )
+BROKEN = "x IS NULL OR x._corrupt_record IS NOT NULL"
+
+# A complete entry without another one inside; possessive, so a file is scanned once.
+ENTRY = (
+    r"<(url|sitemap)(?=[\s>])[^>]*+>"
+    r"(?:[^<]++|<(?!/?(?:url|sitemap)[\s>]))*+</\1\s*+>"
+)
 
 
 def read_xml(sitemaps: DataFrame) -> DataFrame:
     """Parse each body once; a broken document fills ``x._corrupt_record``."""
-    rest = [f"`{c}`" for c in sitemaps.columns if c != "body"]
+    rest = [f"`{c}`" for c in sitemaps.columns]
     return sitemaps.selectExpr(*rest, f"from_xml(body, {text(SCHEMA)}) AS x")
 
 
-def entries(sitemaps: DataFrame) -> DataFrame:
-    """One row per ``<url>`` (SitemapLink) and ``<sitemap>`` (Sitemap) that has a good loc."""
+def all_entries(sitemaps: DataFrame) -> DataFrame:
+    """One row per ``<url>`` (SitemapLink) and ``<sitemap>`` (Sitemap), with a ``reason`` to drop it, if any.
+
+    A document that is not well-formed gives its complete entries, each parsed
+    on its own, and one row more with reason ``bad_xml``. Other reasons:
+    ``no_loc`` and ``bad_loc``, also for an entry that is broken itself.
+    """
     rest = [f"`{c}`" for c in sitemaps.columns if c not in ("body", "context")]
-    both = """concat(
-        transform(coalesce(x.url, array()), e -> named_struct('context', 'SitemapLink', 'loc', e.loc)),
-        transform(coalesce(x.sitemap, array()), e -> named_struct('context', 'Sitemap', 'loc', e.loc)))"""
+
+    def row(context: str, loc: str, entry: str) -> str:
+        return f"named_struct('context', {context}, 'loc', {loc}, 'entry', {entry})"
+
+    none = null_text()
+    whole = f"""concat(
+        transform(coalesce(x.url, array()), e -> {row("'SitemapLink'", "e.loc", none)}),
+        transform(coalesce(x.sitemap, array()), e -> {row("'Sitemap'", "e.loc", none)}))"""
+    context = "CASE WHEN startswith(b, '<url') THEN 'SitemapLink' ELSE 'Sitemap' END"
+    pieces = f"""concat(
+        transform(regexp_extract_all(coalesce(body, ''), {text(ENTRY)}, 0), b -> {row(context, none, "b")}),
+        array({row(none, none, none)}))"""
     exploded = (
         read_xml(sitemaps)
-        .selectExpr(*rest, f"posexplode({both}) AS (pos, e)")
-        .selectExpr(*rest, "pos", "e.context AS context", "e.loc AS loc")
+        .selectExpr(*rest, f"posexplode(CASE WHEN {BROKEN} THEN {pieces} ELSE {whole} END) AS (pos, e)")
+        .selectExpr(
+            *rest,
+            "pos",
+            "e.context AS context",
+            "CASE WHEN e.entry IS NULL THEN e.loc ELSE from_xml(e.entry, 'loc string').loc END AS loc",
+        )
+    )
+    return parse_urls(exploded, "loc").selectExpr(
+        "*",
+        """CASE WHEN context IS NULL THEN 'bad_xml' WHEN loc IS NULL THEN 'no_loc'
+        WHEN u.error IS NOT NULL THEN 'bad_loc' END AS reason""",
     )
-    return parse_urls(exploded, "loc").filter("u.error IS NULL")
+
+
+def entries(sitemaps: DataFrame) -> DataFrame:
+    """The entries that have a good loc, also those of broken documents."""
+    return all_entries(sitemaps).filter("reason IS NULL").drop("reason")
 
 
 def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
@@ -41,6 +76,6 @@ def bad_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """Documents that are not well-formed."""
     return (
         read_xml(sitemaps.select("url", "body"))
-        .filter("x IS NULL OR x._corrupt_record IS NOT NULL")
+        .filter(BROKEN)
         .selectExpr("'sitemap' AS stage", "url AS key", "'bad_xml' AS reason")
     )

@@ -4,37 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.functions import urls as U
 from crawlframe.operators import dispatch, frontier, robots
-from crawlframe.operators.sitemaps import bad_sitemaps
 from crawlframe.operators.urls import parse_urls
 from crawlframe.session import written
 
 
 @dataclass
 class Round:
-    """Tables that a round adds. ``new_urls`` and ``new_domains`` go to the frontier."""
+    """Tables that a round adds. ``new_urls`` and ``new_domains`` go to the frontier.
+
+    ``rejects`` (stage, key, reason) has every page and link that was dropped,
+    ``retries`` (url, retry_s, next_attempt) the pages whose robots.txt must be
+    fetched first. A link that is in neither is new or was known before.
+    """
 
     new_domains: DataFrame
     new_urls: DataFrame
     rejects: DataFrame
+    retries: DataFrame
 
 
 def barred_pages(fetched: DataFrame, rules: DataFrame) -> DataFrame:
-    """Ids of the fetches that robots.txt does not allow, from narrow rows only.
+    """The fetches that robots.txt does not allow (page_id, url, decision, retry_s), from narrow rows only.
 
     A page whose own URL cannot be parsed has no rules to pass and is barred too.
     """
     parsed = parse_urls(fetched.select("page_id", "url"), "url")
     keys = parsed.filter("u.error IS NULL").selectExpr(
-        "page_id", "u.authority AS authority", "u.path AS path", "u.query AS query"
+        "page_id", "url", "u.authority AS authority", "u.path AS path", "u.query AS query"
+    )
+    denied = robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'")
+    return denied.select("page_id", "url", "decision", "retry_s").unionByName(
+        parsed.filter("u.error IS NOT NULL").selectExpr(
+            "page_id", "url", "'Unparsable' AS decision", "NULL AS retry_s"
+        )
     )
-    denied = robots.gate(keys, rules, ["page_id"]).filter("decision <> 'Allowed'").select("page_id")
-    return denied.union(parsed.filter("u.error IS NOT NULL").select("page_id"))
 
 
 def seed_links(fetched: DataFrame, rules: DataFrame) -> DataFrame:
@@ -48,19 +57,21 @@ def seed_links(fetched: DataFrame, rules: DataFrame) -> DataFrame:
         "cast(NULL AS string) AS rel",
         "'Sitemap' AS context",
         "u",
+        "cast(NULL AS string) AS reason",
     )
 
 
 def gated_links(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Links whose URL robots.txt allows.
 
-    Distinct URLs, without fragment, keep their first inlink; each is matched once.
+    Distinct URLs, without fragment, keep their first inlink; each is matched
+    once. Seeds count as found after the links of all pages.
     """
     parts = ["url", "authority", "domain", "path", "query"]
     first = (
         links.select("page_id", "pos", "context", *[F.col(f"u.{p}") for p in parts])
         .groupBy(*parts)
-        .agg(F.min(F.struct("page_id", "pos", "context")).alias("s"))
+        .agg(F.min(F.struct(F.isnull("page_id"), "page_id", "pos", "context")).alias("s"))
         .select(
             F.struct(*parts).alias("u"),
             "authority", "path", "query", "s.page_id", "s.pos", "s.context",
@@ -76,32 +87,44 @@ def crawl_round(
     url: DataFrame,
     batch_id: int,
     extractors: Mapping[str, dispatch.Extractor] | None = None,
+    checked_at: datetime | None = None,
 ) -> Round:
     """Links of ``fetched`` (page_id, url, body, context) merged into the frontier.
 
     Bodies are never shuffled: links leave them in the task that reads them, and
     the gate for the page itself applies to its links. The links are written
-    once, so the bodies are parsed a single time.
+    once, with those that extraction drops, so the bodies are parsed a single
+    time. Retries count from ``checked_at``, by default from now.
     """
     chosen = extractors or dispatch.default_extractors()
     barred = written(barred_pages(fetched, rules), "barred")
-    pages = fetched.select("page_id", "url").join(barred, "page_id", "left_anti")
-    found = dispatch.extract_outlinks(fetched, chosen).join(barred, "page_id", "left_anti")
+    ids = barred.select("page_id")
+    pages = fetched.select("page_id", "url", "context").join(ids, "page_id", "left_anti")
+    found = dispatch.extract_all(fetched, chosen).join(ids, "page_id", "left_anti")
     links = written(found.unionByName(seed_links(pages, rules)), "links")
-    gated = written(gated_links(links, rules), "gated")
+    gated = written(gated_links(links.filter("reason IS NULL"), rules), "gated")
     kept = gated.filter("decision = 'Allowed'")
     new_domains, new_urls = frontier.insert(frontier.offered_urls(kept), domain, url, batch_id)
     rejects = (
         gated.filter("decision <> 'Allowed'")
         .selectExpr("'robots' AS stage", "u.url AS key", "lower(decision) AS reason")
         .unionByName(frontier.frontier_rejects(kept))
-        .unionByName(dispatch.without_extractor(fetched, chosen))
+        .unionByName(dispatch.without_extractor(pages, chosen))
         .unionByName(
-            bad_sitemaps(
-                fetched.filter("context = 'Sitemap'").selectExpr(
-                    "url", "make_valid_utf8(cast(body AS string)) AS body"
-                )
+            barred.filter("decision <> 'Retry'").selectExpr(
+                "'page' AS stage", "url AS key", "lower(decision) AS reason"
             )
         )
+        .unionByName(
+            links.filter("reason IS NOT NULL").selectExpr(
+                "CASE WHEN reason IN ('bad_xml', 'no_loc', 'bad_loc') THEN 'sitemap' ELSE 'extract' END AS stage",
+                "CASE WHEN reason IN ('bad_xml', 'no_loc') THEN base_url ELSE href END AS key",
+                "reason",
+            )
+        )
+    )
+    now = F.current_timestamp() if checked_at is None else F.lit(checked_at).cast("timestamp")
+    retries = barred.filter("decision = 'Retry'").select(
+        "url", "retry_s", (now + F.make_dt_interval(secs=F.col("retry_s"))).alias("next_attempt")
     )
-    return Round(new_domains, new_urls, rejects)
+    return Round(new_domains, new_urls, rejects, retries)

@@ -40,6 +40,8 @@ URL = (
 
 REJECTS = "stage string, key string, reason string"
 
+RETRIES = "url string, retry_s int, next_attempt timestamp"
+
 WARC_RECORDS = (
     "record_id string, target_uri string, warc_date string, content_length bigint, record binary"
 )

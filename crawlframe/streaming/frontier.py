@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from crawlframe.operators.dispatch import Extractor
 from crawlframe.plans.crawl_round import crawl_round
 from crawlframe.sources.frontier_store import FrontierStore
 
 
-def start(fetched: DataFrame, rules: DataFrame, store: FrontierStore, checkpoint: str) -> StreamingQuery:
+def start(
+    fetched: DataFrame,
+    rules: DataFrame | Callable[[], DataFrame],
+    store: FrontierStore,
+    checkpoint: str,
+    extractors: Mapping[str, Extractor] | None = None,
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
     """Run the batch round on each micro-batch.
 
     A batch sees the frontier as it was before it and replaces its own
-    partitions, so a batch that runs twice adds nothing twice.
+    folders, so a batch that runs twice adds nothing twice. Its rejects and
+    retries are stored too. ``rules`` may be a function that reads the rules
+    anew for every batch. ``trigger`` holds the arguments of Spark's trigger.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = crawl_round(
-            batch, rules, store.read("domain", batch_id), store.read("url", batch_id), batch_id
-        )
-        store.write("domain", done.new_domains)
-        store.write("url", done.new_urls)
+        known = store.read("domain", batch_id), store.read("url", batch_id)
+        now = rules() if callable(rules) else rules
+        store.write_round(crawl_round(batch, now, *known, batch_id, extractors), batch_id)
 
     return (
         fetched.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

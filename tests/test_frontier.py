@@ -111,8 +111,7 @@ def test_round_and_store(spark):
 
     def run(batch: int):
         done = crawl_round(fetched, rules, store.read("domain", batch), store.read("url", batch), batch)
-        store.write("domain", done.new_domains)
-        store.write("url", done.new_urls)
+        store.write_round(done, batch)
         return done
 
     done = run(0)
@@ -125,6 +124,7 @@ def test_round_and_store(spark):
     rejects = sorted(tuple(r) for r in done.rejects.collect())
     assert rejects == [
         ("extract", "http://b.x/i.png", "no_extractor"),
+        ("page", "http://a.x/no/page", "disallowed"),
         ("robots", "http://1.2.3.4/", "retry"),
         ("robots", "http://a.x/no/1", "disallowed"),
         ("robots", "http://c.x/", "retry"),
@@ -133,5 +133,6 @@ def test_round_and_store(spark):
     ]
     run(0)  # the same batch again
     assert keys((store.read("domain"), store.read("url"))) == everything
+    assert store.read("reject").count() == len(rejects) and store.read("retry").count() == 0
     run(1)  # the same fetches as a later batch
     assert keys((store.read("domain"), store.read("url"))) == everything

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlframe.operators import dispatch
-from crawlframe.operators.sitemaps import bad_sitemaps, sitemap_entries
+from crawlframe.operators.sitemaps import all_entries, bad_sitemaps, sitemap_entries
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
@@ -19,6 +19,11 @@ DOCS = {
     "relative": "<urlset><url><loc>/nope</loc></url></urlset>",
     "empty": "<urlset/>",
     "cut": "<urlset><url><loc>http://a.x/6</loc></url><url>",
+    "cut_text": "<urlset>\n<url>\n<loc> http://a.x/7?a=1&amp;b=2 </loc>\n</url><url><loc>http://a.x/8",
+    "cut_index": "<sitemapindex><sitemap a='b'><loc>http://a.x/s2.xml</loc></sitemap ><sitemap><lo",
+    "cut_image": f'<urlset {NS} xmlns:image="http://i"><url><image:image><image:loc>http://i.x/</image:loc>'
+    "</image:image><loc>http://a.x/9</loc></url><url><loc>",
+    "one_bad": "<urlset><url><loc>http://a.x/&nope;</loc></url><url><loc>http://a.x/10</loc></url></urlset>",
     "entity": "<urlset><url><loc>http://a.x/&nope;</loc></url></urlset>",
     "text": "this is no XML",
 }
@@ -38,9 +43,22 @@ def test_entries_and_broken_documents(spark):
         "image": [("SitemapLink", "http://a.x/4")],
         "cdata": [("SitemapLink", "http://a.x/5?a&b")],
         "index": [("Sitemap", "http://a.x/s.xml")],
+        "cut": [("SitemapLink", "http://a.x/6")],
+        "cut_text": [("SitemapLink", "http://a.x/7?a=1&b=2")],
+        "cut_index": [("Sitemap", "http://a.x/s2.xml")],
+        "cut_image": [("SitemapLink", "http://a.x/9")],
+        "one_bad": [("SitemapLink", "http://a.x/10")],
     }
     bad = {r.key: r.reason for r in bad_sitemaps(df).collect()}
-    assert bad == {"cut": "bad_xml", "entity": "bad_xml", "text": "bad_xml"}
+    assert bad == dict.fromkeys(
+        ["cut", "cut_text", "cut_index", "cut_image", "one_bad", "entity", "text"], "bad_xml"
+    )
+    reasons: dict[str, list] = {}
+    for r in all_entries(df).filter("reason IS NOT NULL").collect():
+        reasons.setdefault(r.authority, []).append(r.reason)
+    assert reasons == {k: ["bad_xml"] for k in bad} | {
+        "one_bad": ["no_loc", "bad_xml"], "entity": ["no_loc", "bad_xml"], "no_loc": ["no_loc"], "relative": ["bad_loc"],
+    }
 
 
 def test_dispatch_by_context(spark):
