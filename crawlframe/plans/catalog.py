@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from crawlframe import schemas
 from crawlframe.operators import archive, dispatch, frontier, links, politeness, robots, sitemaps, urls
 from crawlframe.operators.urls import parse_urls
 from crawlframe.plans import fixtures as X
-from crawlframe.plans.crawl_round import crawl_round
+from crawlframe.plans.crawl_round import Round, crawl_round
 from crawlframe.session import fresh_path, written
 from crawlframe.sources import warc
 from crawlframe.sources.frontier_store import FrontierStore
@@ -22,6 +23,8 @@ from crawlframe.streaming import robots as robots_stream
 Query = Callable[[SparkSession, str], DataFrame]
 Tables = tuple[DataFrame, DataFrame]
 
+ROUND_TIME = datetime(2024, 3, 1, tzinfo=timezone.utc)
+
 
 def link_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Links and distinct targets per domain."""
@@ -67,16 +70,19 @@ def _keys(url: DataFrame, domain: DataFrame) -> DataFrame:
     return frontier.named(url, domain).select(*frontier.KEY)
 
 
-def outlink_rejects(spark: SparkSession, sf: str) -> DataFrame:
+def _with_bad_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Every page with three more anchors that must not pass."""
-    more = parse_urls(X.pages(spark, sf), "url").selectExpr(
+    return parse_urls(X.pages(spark, sf), "url").selectExpr(
         "page_id",
         "url",
         """concat(html, '<a href="mailto:info@', u.authority, '">m</a><a href="',
            replace(url, '&', '&amp;'), '">s</a><a href=\\'http://', u.authority,
            ':99999/\\'>p</a>') AS html""",
     )
-    return links.outlink_rejects(more)
+
+
+def outlink_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return links.outlink_rejects(_with_bad_anchors(spark, sf))
 
 
 def outlinks_by_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +216,81 @@ def crawl_round_query(spark: SparkSession, sf: str) -> DataFrame:
     domain, url = _known(spark, sf)
     rules = written(_rules(spark, sf), "rules")
     done = crawl_round(_round_fetches(spark, sf), rules, domain, url, 1)
-    return _keys(done.new_urls, domain.unionByName(done.new_domains))
+    named = frontier.named(done.new_urls, domain.unionByName(done.new_domains))
+    return named.select(*frontier.KEY, "context")
+
+
+def _troubled_round(spark: SparkSession, sf: str) -> Round:
+    """A round over all pages, each with three anchors that must not pass, and a bad page URL per site."""
+    columns = ["page_id", "url", "body", "context"]
+    more = _with_bad_anchors(spark, sf).selectExpr(
+        "page_id", "url", "encode(html, 'UTF-8') AS body", "'Other' AS context"
+    )
+    bad = X.sites(spark, sf).select("authority").distinct().selectExpr(
+        "-1 - abs(xxhash64(authority)) AS page_id",
+        "concat('http://', authority, ':99999/') AS url",
+        "encode('<a href=\"http://never.example/\">n</a>', 'UTF-8') AS body",
+        "'Other' AS context",
+    )
+    fetched = more.select(*columns).unionByName(bad.select(*columns))
+    rules = written(_rules(spark, sf), "rules")
+    return crawl_round(fetched, rules, *_empty(spark), 0, checked_at=ROUND_TIME)
+
+
+def round_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return _troubled_round(spark, sf).rejects
+
+
+def round_retries(spark: SparkSession, sf: str) -> DataFrame:
+    return _troubled_round(spark, sf).retries.selectExpr(
+        "url", "retry_s", "unix_micros(next_attempt) AS next_attempt_us"
+    )
+
+
+def sitemap_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sitemap file cut inside an entry, every index file with one bad entry more."""
+    bad = X.sitemaps(spark, sf).withColumn(
+        "body",
+        F.expr(
+            """replace(replace(body, '</urlset>', '<url><loc>http://cut.example'), '</sitemapindex>',
+               '<sitemap><loc>http://bad.example/&nope;</loc></sitemap></sitemapindex>')"""
+        ),
+    )
+    broken = sitemaps.bad_sitemaps(bad).selectExpr("reason AS context", "key AS loc")
+    return sitemaps.sitemap_entries(bad).select("context", "loc").unionByName(broken)
+
+
+def frontier_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a domain when the domains with names of even length are lost."""
+    domain, url = _merge(spark, X.links(spark, sf), _empty(spark), 0)
+    return frontier.integrity(url, domain.filter("length(name) % 2 = 1"))
+
+
+def _two_names(spark: SparkSession, sf: str) -> list[str]:
+    """The first and the last site by name."""
+    return list(X.sites(spark, sf).agg(F.min("authority"), F.max("authority")).first())
+
+
+def outlinks_allowed_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    return links.outlink_counts(X.pages(spark, sf), _two_names(spark, sf))
+
+
+def frontier_select_named(spark: SparkSession, sf: str) -> DataFrame:
+    """What two sites hand out, from the frontier over all pages."""
+    domain, url = _merge(spark, X.links(spark, sf), _empty(spark), 0)
+    none = url.filter("url_id IS NULL")
+    chosen = frontier.select_urls(url, domain, none, _two_names(spark, sf))
+    return chosen.select(*frontier.KEY, "rank", "turn")
+
+
+def robots_from_fetches(spark: SparkSession, sf: str) -> DataFrame:
+    """robots.txt files found among the fetches of all pages."""
+    files = X.robots(spark, sf).selectExpr(
+        "concat('https://', authority, '/robots.txt') AS url", "start", "status", "encode(body, 'UTF-8') AS body"
+    )
+    fetched = X.fetches(spark, sf).select("url", "start", "status", "body").unionByName(files)
+    table = robots.robots_table(robots.robots_fetches(fetched), X.BOT)
+    return table.selectExpr("authority", "access", "coalesce(size(rules), 0) AS n_rules")
 
 
 def _log_slices(spark: SparkSession, log: DataFrame) -> list[DataFrame]:
@@ -237,9 +317,9 @@ def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
     for part in _log_slices(spark, log):
         part.write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(log.schema).parquet(inbox)
-        query = robots_stream.start(stream, root, checkpoint)
-        query.awaitTermination()
-    state = robots_stream.latest(spark, root, query)
+        robots_stream.start(stream, root, checkpoint).awaitTermination()
+    robots_stream.start(stream, root, checkpoint).awaitTermination()  # a restart without new rows
+    state = robots_stream.latest(spark, root)
     found = X.lookups(log).join(state, "authority", "left")
     return _plain_times(
         found.withColumn("verdict", F.expr(robots.verdict("access", "updated", "now")))
@@ -293,6 +373,13 @@ QUERIES: dict[str, Query] = {
     "warc_records": warc_records,
     "warc_roundtrip": warc_roundtrip,
     "crawl_round": crawl_round_query,
+    "round_rejects": round_rejects,
+    "round_retries": round_retries,
+    "sitemap_broken": sitemap_broken,
+    "frontier_orphans": frontier_orphans,
+    "frontier_select_named": frontier_select_named,
+    "outlinks_allowed_hosts": outlinks_allowed_hosts,
+    "robots_from_fetches": robots_from_fetches,
     "stream_robots": stream_robots,
     "stream_politeness": stream_politeness,
     "stream_frontier": stream_frontier,

@@ -113,23 +113,39 @@ fg AS ("""
     + gated("fetched")
     + r"""),
 good AS (SELECT * FROM fg WHERE decision = 'Allowed'),
-offer AS (
-    SELECT a.authority, a.path, CAST(NULL AS VARCHAR) AS query FROM a
+inlink AS (
+    SELECT a.authority, a.path, CAST(NULL AS VARCHAR) AS query, 1 AS place, 'Other' AS context FROM a
       JOIN good g ON g.kind = 'p' AND g.page_id = a.page_id
-    UNION SELECT p.authority, p.path, p.query FROM p
+    UNION SELECT p.authority, p.path, p.query, 0, 'SitemapLink' FROM p
       JOIN good g ON g.kind = 's' AND g.authority = p.authority AND g.page_id = p.page_id // 1000
-    UNION SELECT authority, '/sitemap_0.xml', NULL FROM good WHERE kind = 'i'
-    UNION SELECT s.authority, regexp_extract(s.url, '^[a-z]+://[^/]*(.*)$', 1), NULL FROM seeds s
+    UNION SELECT authority, '/sitemap_0.xml', NULL, 0, 'Sitemap' FROM good WHERE kind = 'i'
+    UNION SELECT s.authority, regexp_extract(s.url, '^[a-z]+://[^/]*(.*)$', 1), NULL, 2, 'Sitemap' FROM seeds s
       JOIN good g ON g.kind = 'r' AND g.authority = s.authority),
+offer AS (SELECT authority, path, query, arg_min(context, place) AS context FROM inlink GROUP BY ALL),
 links AS (SELECT *, path || coalesce('?' || query, '') AS pq FROM offer),
 lg AS ("""
     + gated("links")
     + r""")
-SELECT authority AS name, path, query FROM lg WHERE decision = 'Allowed' AND NOT EXISTS (
+SELECT authority AS name, path, query, context FROM lg WHERE decision = 'Allowed' AND NOT EXISTS (
     SELECT 1 FROM known k WHERE k.name = lg.authority AND k.path = lg.path
     AND k.query IS NOT DISTINCT FROM lg.query)"""
 )
 
+TROUBLED = (
+    PAGES
+    + ROBOTS
+    + r""",
+fetched AS (SELECT page_id, url, authority, path || coalesce('?' || query, '') AS pq FROM p),
+fg AS ("""
+    + gated("fetched")
+    + r"""),
+good AS (SELECT * FROM fg WHERE decision = 'Allowed'),
+links AS (SELECT DISTINCT a.authority, a.path AS pq, a.url FROM a JOIN good USING (page_id)),
+lg AS ("""
+    + gated("links")
+    + """)"""
+)
+
 STREAM_FRONTIER = (
     PAGES
     + ROBOTS
@@ -212,6 +228,32 @@ ORACLE: dict[str, str] = {
     "warc_roundtrip": f"SELECT url AS target_uri, {LENGTH} AS content_length, {DATE} AS warc_date,"
     " html AS body FROM pages",
     "crawl_round": f"WITH {ROUND}",
+    "round_rejects": f"""WITH {TROUBLED}
+        SELECT 'page' AS stage, url AS key, 'disallowed' AS reason FROM fg WHERE decision = 'Disallowed'
+        UNION ALL SELECT DISTINCT 'page', 'http://' || authority || ':99999/', 'unparsable' FROM p
+        UNION ALL SELECT 'extract', 'mailto:info@' || authority, 'not_http' FROM good
+        UNION ALL SELECT 'extract', url, 'self_link' FROM good
+        UNION ALL SELECT 'extract', 'http://' || authority || ':99999/', 'unparsable' FROM good
+        UNION ALL SELECT 'robots', url, lower(decision) FROM lg WHERE decision <> 'Allowed'""",
+    "round_retries": f"""WITH {TROUBLED} SELECT url, 84000 AS retry_s,
+        CAST(1709251200 + 84000 AS BIGINT) * 1000000 AS next_attempt_us FROM fg WHERE decision = 'Retry'""",
+    "sitemap_broken": f"""WITH {PAGES} SELECT 'SitemapLink' AS context, url AS loc FROM p
+        UNION ALL SELECT DISTINCT 'Sitemap', 'https://' || authority || '/sitemap_0.xml'
+        FROM p WHERE length(authority) % 5 = 2
+        UNION ALL SELECT DISTINCT 'bad_xml', 'https://' || authority || '/sitemap_' || page_id // 1000 || '.xml' FROM p
+        UNION ALL SELECT DISTINCT 'bad_xml', 'https://' || authority || '/sitemap_main.xml'
+        FROM p WHERE length(authority) % 5 = 2""",
+    "frontier_orphans": f"WITH {KNOWN} SELECT count(*) AS n_orphans FROM batch WHERE length(name) % 2 = 0",
+    "frontier_select_named": f"""WITH {KNOWN},
+        w0 AS (SELECT name, path, query, row_number() OVER (PARTITION BY name ORDER BY path) AS rank FROM batch
+               WHERE name IN (SELECT min(authority) FROM p UNION SELECT max(authority) FROM p)),
+        w AS (SELECT *, count(*) OVER (PARTITION BY name) - rank + 1 AS turn FROM w0 WHERE rank <= 10)
+        SELECT name, path, query, CAST(rank AS INTEGER) AS rank, CAST(turn AS INTEGER) AS turn FROM w""",
+    "outlinks_allowed_hosts": f"""WITH {PAGES} SELECT page_id, CAST(CASE WHEN authority IN
+        (SELECT min(authority) FROM p UNION SELECT max(authority) FROM p)
+        THEN len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) ELSE 0 END AS BIGINT) AS n_links FROM p""",
+    "robots_from_fetches": f"WITH {PAGES}{ROBOTS} SELECT authority, access,"
+    " CASE access WHEN 'Ok' THEN 3 ELSE 0 END AS n_rules FROM r",
     "stream_robots": f"WITH {STATE}",
     "stream_politeness": f"WITH {POLITE} SELECT authority, avg_us, until_us FROM last_polite",
     "stream_frontier": f"WITH {STREAM_FRONTIER}",

@@ -8,7 +8,7 @@ of rows even for an authority that owns most of the stream.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +72,13 @@ def states(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
-def start(log: DataFrame, root: str, checkpoint: str, ttl_ms: int | None = None) -> StreamingQuery:
+def start(
+    log: DataFrame,
+    root: str,
+    checkpoint: str,
+    ttl_ms: int | None = None,
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
     """Follow ``log`` and write the changed states of each micro-batch to its own folder.
 
     The keyed state needs the RocksDB store; the session's own choice is put back
@@ -87,7 +93,7 @@ def start(log: DataFrame, root: str, checkpoint: str, ttl_ms: int | None = None)
         .writeStream.foreachBatch(step)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
     )
     conf = log.sparkSession.conf
     before = conf.get(PROVIDER)

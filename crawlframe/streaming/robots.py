@@ -8,8 +8,10 @@ is a table with one row per authority, one snapshot per micro-batch.
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlframe import schemas
@@ -42,8 +44,13 @@ def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def start(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Follow ``log`` (authority, event_id, start, status); running a batch again is harmless."""
+def start(
+    log: DataFrame, root: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
+    """Follow ``log`` (authority, event_id, start, status); running a batch again is harmless.
+
+    ``trigger`` holds the arguments of Spark's trigger.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         old = snapshot(batch.sparkSession, root, batch_id - 1)
@@ -53,10 +60,13 @@ def start(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     return (
         log.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def latest(spark: SparkSession, root: str, query: StreamingQuery) -> DataFrame:
-    return snapshot(spark, root, query.lastProgress["batchId"])
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """State after the newest micro-batch that was written; only that snapshot is read."""
+    all_batches = spark.read.schema(f"{STATE}, batch_id bigint").parquet(root)
+    newest = all_batches.select("batch_id").agg(F.max("batch_id")).first()[0]
+    return snapshot(spark, root, -1 if newest is None else newest)
