@@ -136,3 +136,12 @@ def test_round_and_store(spark):
     assert store.read("reject").count() == len(rejects) and store.read("retry").count() == 0
     run(1)  # the same fetches as a later batch
     assert keys((store.read("domain"), store.read("url"))) == everything
+
+
+def test_batch_that_yields_nothing_the_second_time(spark):
+    store = FrontierStore(spark, fresh_path(spark, "frontier"))
+    rows = spark.createDataFrame([(1, "a.x", 0)], "domain_id bigint, name string, batch_id bigint")
+    store.write("domain", rows, 0)
+    store.write("domain", rows.withColumn("domain_id", rows.domain_id + 1), 1)
+    store.write("domain", rows.filter("false"), 1)
+    assert [tuple(r) for r in store.read("domain").collect()] == [(1, "a.x", 0)]
