@@ -290,8 +290,9 @@ def test_sharding_places_every_row(spark, docs, none):
     assert maglev.assign(none, table, "doc_id", slots).count() == 0
 
 
-def test_suffix_tree_base_scores(spark, docs):
-    rows = suffix_tree.scored(docs).collect()
+@pytest.mark.parametrize("chunk_bytes", [500, 12 << 20])
+def test_suffix_tree_base_scores(spark, docs, chunk_bytes):
+    rows = suffix_tree.scored(docs, settings=suffix_tree.Settings(chunk_bytes=chunk_bytes)).collect()
     tokens = [(key, brute.WORD.findall((text or "").translate(brute.FOLD)) + [""]) for key, text, _ in corpus()]
     held = lambda key: zlib.crc32(str("" if key is None else key).encode()) % 7 == 2
     counts = collections.Counter(w for key, words in tokens if not held(key) for w in words)
