@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.operators.robots import gate
-from crawlframe.operators.skew import hot_keys
+from crawlframe.operators.skew import hot_keys, shuffle_width
 from crawlframe.session import written
 
 SAMPLES = 10
 FLOOR_US = 150_000
 WAIT_FACTOR = 3
-GRID = 1000  # most pieces that one busy authority is cut into
-
-EARLIER = """flatten(collect_list(t) OVER (PARTITION BY authority ORDER BY _chunk
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def clamped(log: DataFrame) -> DataFrame:
@@ -30,39 +26,32 @@ def clamped(log: DataFrame) -> DataFrame:
 
 
 def time_chunks(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """Add ``_chunk``: busy authorities are cut into time ranges of similar size.
+    """Add ``_chunk``: busy authorities are cut into ranges of (start, event_id) of similar size.
 
-    Only authorities that hold at least 1/``parts`` of the rows are cut. Their
-    cut times are written once, so every branch of a plan sees the same chunks.
-    ``_cut`` tells cut authorities from the others, whose only chunk is 0.
+    Only authorities that hold at least 1/``parts`` of the rows are cut: their
+    rows are range-partitioned into ``parts`` pieces and written once, so every
+    branch of a plan sees the same chunks. ``_cut`` tells cut authorities from
+    the others, whose only chunk is 0.
     """
-    hot = F.broadcast(hot_keys(rows, "authority", parts))
-    steps = "array(" + ", ".join(f"{i / GRID}D" for i in range(1, GRID)) + ")"
-    cuts = (
-        rows.select("authority", F.unix_micros("start").alias("at"))
-        .join(hot, "authority")
-        .groupBy("authority")
-        .agg(
-            F.expr(f"percentile_approx(at, {steps})").alias("q"),
-            F.least(F.max("_pieces") + 1, F.lit(GRID)).alias("n"),
-        )
-        .selectExpr(
-            "authority",
-            f"""array_distinct(transform(sequence(1, n - 1),
-                i -> q[cast(floor({GRID} * i / n) AS int) - 1])) AS cuts""",
-        )
-    )
-    chunk = "coalesce(size(filter(cuts, c -> c < unix_micros(start))), 0) AS _chunk"
-    return rows.join(F.broadcast(written(cuts, "cuts")), "authority", "left").selectExpr(
-        *rows.columns, chunk, "cuts IS NOT NULL AS _cut"
+    parts = parts or shuffle_width(rows)
+    hot = F.broadcast(written(hot_keys(rows, "authority", parts).select("authority"), "hot"))
+    busy = written(
+        rows.join(hot, "authority", "left_semi")
+        .repartitionByRange(parts, "authority", "start", "event_id")
+        .withColumn("_chunk", F.spark_partition_id()),
+        "busy",
     )
+    others = rows.join(hot, "authority", "left_anti").withColumn("_chunk", F.lit(0))
+    return others.withColumn("_cut", F.lit(False)).unionByName(busy.withColumn("_cut", F.lit(True)))
 
 
 def samples_before(chunked: DataFrame) -> DataFrame:
     """For each chunk of a cut authority, the last ten samples of its earlier chunks.
 
     At most twice ``parts`` rows: one per chunk, and only busy authorities have
-    chunks. The ranking drops all but ten rows per chunk before it shuffles.
+    chunks. The ranking drops all but ten rows per chunk before it shuffles. The
+    remaining samples are numbered per authority, and a chunk takes the ten
+    numbers up to where it starts.
     """
     busy = chunked.filter("_cut")
     ranked = busy.filter("ok").selectExpr(
@@ -70,19 +59,22 @@ def samples_before(chunked: DataFrame) -> DataFrame:
         "row_number() OVER (PARTITION BY authority, _chunk"
         " ORDER BY start DESC, event_id DESC) AS _r",
     ).filter(F.col("_r") <= SAMPLES)
-    tails = ranked.groupBy("authority", "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct("start", "event_id", "d"))).alias("t")
-    )
-    chunks = busy.select("authority", "_chunk").distinct()
+    samples = ranked.selectExpr("authority", "_chunk", "struct(start, event_id, d) AS t")
+    starts = busy.select("authority", "_chunk").distinct()
     return (
-        chunks.join(tails, ["authority", "_chunk"], "left")
-        .selectExpr("authority", "_chunk", "coalesce(t, array()) AS t")
-        .selectExpr("authority", "_chunk", f"{EARLIER} AS _all")
+        samples.unionByName(starts, allowMissingColumns=True)
+        .selectExpr(
+            "*",
+            "count(t) OVER (PARTITION BY authority ORDER BY _chunk, t NULLS FIRST"
+            " ROWS UNBOUNDED PRECEDING) AS _i",
+        )
         .selectExpr(
-            "authority", "_chunk",
-            f"slice(_all, greatest(1, size(_all) - {SAMPLES - 1}), {SAMPLES}) AS before",
+            "authority", "_chunk", "t",
+            "sort_array(collect_list(t) OVER (PARTITION BY authority ORDER BY _i"
+            f" RANGE BETWEEN {SAMPLES - 1} PRECEDING AND CURRENT ROW)) AS before",
         )
-        .filter("size(before) > 0")
+        .filter("t IS NULL AND size(before) > 0")
+        .drop("t")
     )
 
 
@@ -90,8 +82,9 @@ def politeness(log: DataFrame, parts: int | None = None) -> DataFrame:
     """State after each fetch: average and earliest next fetch, NULL before the first 200.
 
     ``log``: authority, event_id, start, duration_us, status. Fetches other than
-    200 keep the state as it is. One shuffle of the log, by authority and chunk;
-    what a chunk needs from earlier ones is a small table.
+    200 keep the state as it is. The log is shuffled once, by authority and chunk,
+    and the rows of busy authorities once before, into their chunks; what a chunk
+    needs from earlier ones is a small table.
     """
     chunked = time_chunks(clamped(log), parts)
     window = "PARTITION BY authority, _chunk{0} ORDER BY start, event_id ROWS {1} PRECEDING"

@@ -67,6 +67,16 @@ def test_busy_sites_are_cut_evenly(spark):
     assert max(sizes) < 3000 / 20 * 2
 
 
+def test_one_instant_is_cut_too(spark):
+    """Many fetches of one site at the same time are dealt by event id."""
+    rows = [("busy.x", i, T0, 150_000 + i * 7 % 1000, 200 if i % 3 else 404) for i in range(2000)]
+    log = spark.createDataFrame(rows, schemas.FETCH_LOG)
+    sizes = [r["count"] for r in P.time_chunks(P.clamped(log), 20).groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 2000 / 20 * 3
+    got = {(r.authority, r.event_id): (r.avg_us, r.until_us) for r in P.politeness(log, 20).collect()}
+    assert got == replay(rows)[0]
+
+
 def test_edges(spark):
     def at(s):
         return T0 + timedelta(seconds=s)
