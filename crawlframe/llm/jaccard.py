@@ -323,14 +323,8 @@ def all_links(lists: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     return links, components(links)
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_key) per row of ``docs``.
-
-    A null or blank text has an empty set and is linked with nothing; its
-    component is its own id. The component id is the smallest id that links
-    reach. Rows with a null id link like others but give no component id; a
-    group without any id has a null one. Repeated rows are kept.
-    """
+def rooted_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``jaccard_groups`` with the ``root`` that names each group, also where ids do not; null for empty sets."""
     rows = written(document_sets(docs, key, text), "sets")
     grouped = (
         rows.filter("n > 0")
@@ -353,24 +347,39 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = classes.select("print", "cid", "least_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = named.select("print", "root").join(least, "root").select("print", "component_id")
+    by_print = named.select("print", "root").join(least, "root").select("print", "component_id", "root")
     narrow = rows.select("id", "n", "text_key", "print")
     linked_rows = narrow.filter("n > 0").join(by_print, "print")
     columns = [F.col("id").alias(key), F.col("n").alias("n_shingles")]
-    return linked_rows.select(*columns, "component_id", "text_key").union(
-        narrow.filter("n = 0").select(*columns, F.col("id").alias("component_id"), "text_key")
+    return linked_rows.select(*columns, "component_id", "text_key", "root").union(
+        narrow.filter("n = 0").select(
+            *columns, F.col("id").alias("component_id"), "text_key", F.lit(None).cast("bigint").alias("root")
+        )
     )
 
 
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_key) per row of ``docs``.
+
+    A null or blank text has an empty set and is linked with nothing; its
+    component is its own id. The component id is the smallest id that links
+    reach. Rows with a null id link like others but give no component id; a
+    group without any id has a null one. Repeated rows are kept.
+    """
+    return rooted_groups(docs, key, text).drop("root")
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` but only one of every group of linked documents.
 
     The row with the group's smallest id stays, the first of repeated rows.
     Rows without words are linked with nothing and stay, and so does one row of
-    a group that has no id.
+    a group that has no id. Unlinked rows each stay, also if their ids are
+    equal or null: groups are told apart by their roots.
     """
-    groups = jaccard_groups(docs, key, text).filter(F.col("n_shingles") > 0)
-    chosen = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("text_key"))
+    groups = rooted_groups(docs, key, text).filter(F.col("n_shingles") > 0)
+    least = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
+    chosen = least.agg(F.min("text_key").alias("text_key")).drop("root")
     blank = ~F.coalesce(docs[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.filter(~blank).withColumn("_text_key", F.xxhash64(text))
     one = chosen.toDF("_id", "_chosen")

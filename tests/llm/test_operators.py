@@ -85,6 +85,18 @@ def test_one_of_each_group_stays(docs):
     assert ids == want
 
 
+def test_unlinked_rows_stay_whatever_their_ids(spark):
+    texts = {name: " ".join(f"{name}{k}" for k in range(30)) for name in "abcdefg"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"] + " end"), (5, texts["d"]), (5, texts["e"])]
+    rows += [(6, texts["f"]), (6, texts["f"]), (None, texts["g"]), (9, texts["g"]), (8, texts["g"] + " end"), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one_of_each(df).collect()]
+    third = [row for row in kept if row in rows[2:4]]
+    assert len(third) == 1
+    rest = [row for row in kept if row not in third]
+    assert ordered(rest) == ordered([*rows[:2], *rows[4:7], rows[10], *rows[11:]])
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
