@@ -11,6 +11,12 @@ Windows as long as an item slide over every text. A window within the edit limit
 keeps most of the item's word pairs (each edit breaks two at most); windows that
 hold fewer pairs of any item are passed over, which loses nothing. All others are
 embedded and looked up, and candidates are verified by their exact distance.
+
+The walks of two edited copies drift apart with length, so an item of more than
+``PIECE`` words is looked up by pieces that cover it. Of the edits within the
+limit, some piece holds no more than its share, so that piece is within the limit
+of an item of its own length. The whole item is then held against every window
+that a hit of a piece allows.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from crawlframe.llm.common import lower_words_of
 
 BLOCK = 8  # word pairs
 WINDOWS = 256  # embedded at a time
+PIECE = 64  # words; longer items are looked up by pieces of half that or more
 
 
 @dataclass(frozen=True)
@@ -37,8 +44,8 @@ class Settings:
     The number of tables follows from ``recall``: each samples ``sampled``
     positions, and a position of the embeddings of a pair at the limit differs
     with odds of at most ``differs`` (twice the edit share covers the walk's
-    excess; a test measures it). ``least_words``: shorter items are matched
-    whole only. ``item_bytes`` bounds the benchmark that is sent to every task.
+    excess at up to ``PIECE`` words; a test measures it). ``least_words``:
+    shorter items are matched whole only. ``item_bytes`` bounds the benchmark that is sent to every task.
     """
 
     edit_share: float = 0.15
@@ -89,6 +96,33 @@ def distance(a: list[int], b: list[int], limit: int) -> int | None:
     return row[-1] if row[-1] <= limit else None
 
 
+def whole_distance(a: list[int], b: list[int]) -> int:
+    """Edit distance by bit vectors, for long sequences; without a limit."""
+    if not a:
+        return len(b)
+    where: dict[int, int] = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = every, 0, len(a)
+    for y in b:
+        same = where.get(y, 0)
+        side = same | down
+        cross = (((same & up) + up) ^ up) | same
+        more, less = down | (~(cross | up) & every), up & cross
+        edits += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | (~(side | more) & every), more & side
+    return edits
+
+
+def pieces(words: int) -> list[tuple[int, int]]:
+    """(first word, words) of the pieces of an item, which do not overlap and cover it."""
+    count = -(-words // PIECE)
+    cuts = [words * k // count for k in range(count + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+
+
 @dataclass
 class Index:
     """The benchmark as symbols, with its LSH tables by window length."""
@@ -97,8 +131,9 @@ class Index:
     symbols: dict[bytes, int] = field(default_factory=dict)
     items: list[tuple[int, list[int]]] = field(default_factory=list)  # id, symbols
     pairs: np.ndarray | None = None
-    lengths: dict[int, list[int]] = field(default_factory=dict)
-    masks: dict[int, np.ndarray] = field(default_factory=dict)  # which pairs stand in items of a length
+    parts: list[tuple[int, int, list[int]]] = field(default_factory=list)  # item, first word, symbols
+    lengths: dict[int, list[int]] = field(default_factory=dict)  # the parts of each length
+    masks: dict[int, np.ndarray] = field(default_factory=dict)  # which pairs stand in parts of a length
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # places, keys, owners
 
     def __post_init__(self) -> None:
@@ -121,14 +156,16 @@ class Index:
         coded = {x * made.base + y for _, s in items for x, y in zip(s, s[1:])}
         made.pairs = np.array(sorted(coded), np.int64)
         for at, (_, s) in enumerate(items):
-            made.lengths.setdefault(len(s), []).append(at)
+            for first, size in pieces(len(s)):
+                made.lengths.setdefault(size, []).append(len(made.parts))
+                made.parts.append((at, first, s[first : first + size]))
         made.dense = min((made.least_in_block(n) for n in made.lengths if n > BLOCK), default=BLOCK)
         pick = np.random.default_rng(settings.seed)
         for length, members in made.lengths.items():
-            grid = np.array([items[k][1] for k in members], np.int64)
+            grid = np.array([made.parts[k][2] for k in members], np.int64)
             own = (grid[:, :-1] * made.base + grid[:, 1:]).ravel()
             made.masks[length] = np.isin(made.pairs, own)
-            # Positions come from where the walk still reads symbols of the item.
+            # Positions come from where the walk still reads symbols of the part.
             size = min(settings.sampled, 2 * length)
             places = np.stack([pick.choice(2 * length, size=size, replace=False) for _ in range(settings.tables())])
             keys = made.keys(grid, places)
@@ -162,6 +199,7 @@ class Index:
         # Spread over the blocks of a window, the broken pairs leave one block with few of them.
         dense = n > BLOCK and bool((total[BLOCK:] - total[:-BLOCK] >= self.dense).any())
         best: dict[int, tuple[int, int, int]] = {}
+        long: dict[int, set[int]] = {}  # items of several parts, and the windows to hold them against
         spots = np.flatnonzero(known)
         which = at[spots]
         for length in self.lengths:
@@ -190,10 +228,31 @@ class Index:
                 for row in np.flatnonzero(high > low):
                     for owner in owners[low[row] : high[row]]:
                         tried.add((int(some[row // len(places)]), int(owner)))
-            for start, owner in sorted(tried):
-                edits = distance(coded[start : start + length].tolist(), self.items[owner][1], limit)
-                if edits is not None and (owner not in best or edits < best[owner][2]):
+            for start, part in sorted(tried):
+                owner, offset, symbols = self.parts[part]
+                words = len(self.items[owner][1])
+                whole = words == length
+                # A part may end a few words before or after its window, at one edit each.
+                edits = distance(coded[start : start + length].tolist(), symbols, limit if whole else 2 * limit)
+                if edits is None:
+                    continue
+                if not whole:
+                    drift, last = self.settings.limit(words), max(0, n - words)
+                    near = range(max(0, min(start - offset - drift, last)), min(max(start - offset + drift, 0), last) + 1)
+                    long.setdefault(owner, set()).update(near)
+                elif owner not in best or edits < best[owner][2]:
                     best[owner] = (start, min(length, n - start), edits)
+        for owner, windows in long.items():
+            symbols = self.items[owner][1]
+            length = len(symbols)
+            least, skipped = self.settings.limit(length) + 1, -1
+            for start in sorted(windows):
+                if start < skipped:
+                    continue
+                edits = whole_distance(symbols, coded[start : start + length].tolist())
+                if edits < least:
+                    best[owner], least = (start, min(length, n - start), edits), edits
+                skipped = start + (edits - least) // 2 + 1  # one word on changes the distance by two at most
         return sorted((owner, *found) for owner, found in best.items())
 
 

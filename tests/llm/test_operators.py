@@ -219,6 +219,48 @@ def test_lsh_recall_at_the_edit_limit():
         assert hit >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("kind", ["substitutions", "insertions and deletions"])
+@pytest.mark.parametrize("length", [59, 65, 100, 200, 400, 800])
+def test_lsh_recall_of_long_items(length, kind):
+    rng, settings = random.Random(length), decontaminate.Settings()
+    items = [[rng.randrange(1, 2000) for _ in range(length)] for _ in range(30)]
+    index = decontaminate.Index.of([(k, " ".join(f"w{x}" for x in item)) for k, item in enumerate(items)], settings)
+    limit, hit = settings.limit(length), 0
+    for k, item in enumerate(items):
+        changed: list = list(item)
+        if kind == "substitutions":
+            for at in rng.sample(range(length), limit):
+                changed[at] = 5000
+        else:
+            for at in sorted(rng.sample(range(length), limit // 2), reverse=True):
+                del changed[at]
+            for _ in range(limit // 2):
+                changed.insert(rng.randrange(len(changed) + 1), 5000)
+        coded = np.array([index.symbols.get(b"w%d" % x, 0) for x in [6000] * 40 + changed + [6000] * 40])
+        found = {owner: rest for owner, *rest in index.hits(coded)}
+        hit += k in found
+        if k in found:
+            start, size, edits = found[k]
+            assert size == length and edits <= limit
+            assert decontaminate.distance(coded[start : start + size].tolist(), index.items[k][1], limit) == edits
+    assert hit >= 0.95 * len(items)
+
+
+def test_long_items_take_their_best_window_and_short_texts():
+    rng, settings = random.Random(12), decontaminate.Settings()
+    item = [f"w{rng.randrange(300)}" for _ in range(150)]
+    index = decontaminate.Index.of([(1, " ".join(item))], settings)
+    for _ in range(20):
+        words = [w for w in item if rng.random() > 0.06]
+        for _ in range(rng.randrange(8)):
+            words.insert(rng.randrange(len(words)), "new")
+        for pad in (0, 30):
+            coded = np.array([index.symbols.get(w.encode(), 0) for w in ["x"] * pad + words + ["x"] * pad])
+            far = [decontaminate.distance(coded[s : s + 150].tolist(), index.items[0][1], 150) for s in range(max(1, len(coded) - 149))]
+            want = [(0, far.index(min(far)), min(150, len(coded)), min(far))] if min(far) <= settings.limit(150) else []
+            assert index.hits(coded) == want
+
+
 def test_mixing_meets_targets(spark, docs):
     rows = [(k, " ".join(["w"] * (1 + k % 37)), f"s{k % 5}" if k % 11 else None) for k in range(6000)] + corpus()
     df = spark.createDataFrame([(*row, 1) for row in rows], "doc_id bigint, text string, source string, size bigint").repartition(7)
