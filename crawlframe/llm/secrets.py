@@ -11,12 +11,9 @@ findings at any depth are reported as spans of the original.
 from __future__ import annotations
 
 import base64
-import binascii
-import gzip
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,13 +36,34 @@ UNICODE_ESCAPES = re.compile(
     r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines that are full of it, as MIME and PEM write them, and a last one.
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+(?=[\x20\t]*\r?\n|=|$))*+"
+    r"[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]++={0,2}"
+    r"|[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+(?=[\x20\t]*\r?\n|=|$))++={0,2})"
+)
+STANDARD = str.maketrans("-_", "+/")
+GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+_GOOD = rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xf4][\x80-\xbf]{1,3}+)"
+READABLE = re.compile(_GOOD + rb"{6,}+(?:[\x00-\xff]{1,2}?" + _GOOD + rb"{4,}+)*+")
+URL_BYTES = re.compile(r"(?=%1[fF]%8[bB]%08|(?:x|%78)(?:%01|%5[eE]|%9[cC]|%[dD][aA])|(?:\(|%28)%[bB]5(?:/|%2[fF])%[fF][dD])(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
+HEX_BYTES = re.compile(
+    r"(?=\\x1[fF]\\x8[bB]\\(?:x08|b)|(?:x|\\x78)(?:\\x01|\^|\\x5[eE]|\\x9[cC]|\\x[dD][aA])|(?:\(|\\x28)\\x[bB]5(?:/|\\x2[fF])\\x[fF][dD])"
+    r"(?:\\x[0-9A-Fa-f]{2}|\\[^x]|[\x20-\x5B\x5D-\x7E])+"
+)
+HEX_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[\x00-\x7F]|.", re.DOTALL)
+PLAIN_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "0": "\0"}
+INFLATE = 1 << 20  # bytes at a time
+OVERLAP = 1 << 16  # of the pieces of a large part
 
 
 @dataclass(frozen=True)
 class Limits:
-    """``layer_bytes`` bounds one decoded layer, so that a compression bomb cannot take the task.
+    """``layer_bytes`` bounds what is held of one inflated part, so that a compression bomb cannot take the task.
 
-    A part that decodes to more is left as it is and counted in ``n_too_large``.
+    A part that inflates to more is scanned in overlapping pieces and counted in ``n_too_large``.
     """
 
     layer_bytes: int = 64 << 20
@@ -54,17 +72,19 @@ class Limits:
 class Layer:
     """Decoded text with, for each character, the span of the original it stands for.
 
-    ``start`` and ``end`` are None for the original text itself.
+    ``start`` and ``end`` are None for the original text itself, and numbers where all characters share one span.
     """
 
     __slots__ = ("text", "start", "end")
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None) -> None:
+    def __init__(self, text: str, start: list[int] | int | None = None, end: list[int] | int | None = None) -> None:
         self.text, self.start, self.end = text, start, end
 
     def span(self, first: int, last: int) -> tuple[int, int]:
         if self.start is None:
             return first, last
+        if isinstance(self.start, int):
+            return self.start, self.end
         return min(self.start[first:last]), max(self.end[first:last])
 
 
@@ -79,37 +99,72 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _utf8(raw: bytes) -> str | None:
-    """Text of bytes that read as text: UTF-8 with next to no control characters."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if (c < " " and c not in "\t\n\r") or c == "\x7f")
-    return text if text and odd == 0 else None
-
-
-def _inflate(raw: bytes, limits: Limits) -> bytes | None:
-    """The content of gzip, zlib or zstandard bytes; None if it is none or damaged; ValueError if too large."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            opened = zlib.decompressobj(wbits=31)
-        elif raw[:1] == b"\x78" and len(raw) > 6 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            opened = zlib.decompressobj()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(limits.layer_bytes + 1)
-            if len(out) > limits.layer_bytes:
-                raise ValueError("too large")
-            return out
-        else:
-            return None
-        out = opened.decompress(raw, limits.layer_bytes + 1)
-        if len(out) > limits.layer_bytes:
-            raise ValueError("too large")
-        return out if opened.eof else None
-    except (zlib.error, gzip.BadGzipFile, zstandard.ZstdError):
-        return None
+def _stretches(raw: bytes) -> Iterator[tuple[int, str]]:
+    """(first byte, text) of what reads as text, with some bytes in between that do not."""
+    for m in READABLE.finditer(raw):
+        yield m.start(), m.group().decode("utf-8", "surrogateescape")
+
+
+def _inflated(raw: memoryview, limits: Limits) -> Iterator[bytes]:
+    """The content of gzip, zlib or zstandard bytes at the start of ``raw``, all members, in overlapping pieces.
+
+    What follows the last member does not matter. Damaged bytes give what comes before the damage.
+    """
+    piece, overlap = limits.layer_bytes, min(OVERLAP, limits.layer_bytes // 2)
+
+    def blocks() -> Iterator[bytes]:
+        rest = raw
+        try:
+            if rest[:4] == ZSTD:
+                with zstandard.ZstdDecompressor().stream_reader(rest, read_across_frames=True) as reader:
+                    while block := reader.read(INFLATE):
+                        yield block
+                return
+            wbits = 31 if rest[:2] == GZIP else 15
+            while len(rest) > 2:
+                opened = zlib.decompressobj(wbits=wbits)
+                given = rest
+                while not opened.eof:
+                    block = opened.decompress(given, INFLATE)
+                    given = opened.unconsumed_tail
+                    if block:
+                        yield block
+                    elif not given:
+                        break
+                rest = memoryview(opened.unused_data)
+                if rest[:2] != GZIP or wbits != 31:
+                    return
+        except (zlib.error, zstandard.ZstdError):
+            return
+
+    held = bytearray()
+    fresh = False
+    for block in blocks():
+        held += block
+        fresh = True
+        while len(held) > piece:
+            yield bytes(held[:piece])
+            del held[: piece - overlap]
+    if fresh:
+        yield bytes(held)
+
+
+def _opened(raw: bytes, limits: Limits, large: list[int], seen: frozenset[bytes] = frozenset()) -> Iterator[tuple[int, str]]:
+    """(first byte, text) of compressed bytes anywhere in ``raw``, through any number of compressions."""
+    view, done = memoryview(raw), 0
+    for m in PACKED.finditer(raw):
+        if m.start() < done:
+            continue
+        for k, inner in enumerate(_inflated(view[m.start() :], limits)):
+            if k == 1:
+                large.append(m.start())
+            mark = hashlib.blake2b(inner, digest_size=16).digest()
+            if mark in seen:
+                continue
+            for _, text in _stretches(inner):
+                yield m.start(), text
+            for _, text in _opened(inner, limits, large, seen | {mark}):
+                yield m.start(), text
 
 
 def _unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -142,11 +197,8 @@ def _unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), start, end)
 
 
-def _url(escapes: str) -> str | None:
-    try:
-        return bytes.fromhex(escapes.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _url(escapes: str) -> str:
+    return bytes.fromhex(escapes.replace("%", "")).decode("utf-8", "surrogateescape")
 
 
 def _unicode(escape: str) -> str | None:
@@ -155,68 +207,97 @@ def _unicode(escape: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _parts(layer: Layer, limits: Limits) -> Iterator[Layer | None]:
-    """Layers inside base64 runs, unpacked if compressed; None for one that is too large."""
-    for m in BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        packed, text = raw, _utf8(raw)
-        try:
-            while text is None and (inner := _inflate(packed, limits)) is not None:
-                packed, text = inner, _utf8(inner)
-        except ValueError:
-            yield None
-            continue
-        if text is None:
+def _runs(text: str) -> Iterator[tuple[str, list[int] | range, int]]:
+    """(base64 characters, their places, end with padding) of runs in one line, and of runs over several."""
+    for m in BASE64.finditer(text):
+        yield m.group().rstrip("="), range(m.start(), m.end()), m.end()
+    for m in WRAPPED.finditer(text):
+        places = [k for k in range(*m.span()) if text[k] not in " \t\r\n="]
+        yield "".join(text[k] for k in places), places, m.end()
+
+
+def _parts(layer: Layer, limits: Limits, large: list[int]) -> Iterator[Layer]:
+    """Layers inside base64 runs, unpacked if compressed.
+
+    Every one of the four alignments of a run is decoded, since a run may start
+    with characters that are not part of the code, as in a path.
+    """
+    for run, places, stop in _runs(layer.text):
+        body = run.translate(STANDARD)
+        for skip in range(4):
+            size = (len(body) - skip) // 4 * 4 + ((len(body) - skip) % 4 if (len(body) - skip) % 4 != 1 else 0)
+            if size < 8:
+                continue
+            raw = base64.b64decode(body[skip : skip + size] + "=" * (-size % 4))
+            for at, text in _stretches(raw):  # three bytes stand in four characters
+                starts, ends = [], []
+                for c in text:
+                    n = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
+                    first, final = skip + at * 4 // 3, skip - (-(at + n) * 4 // 3) - 1
+                    lo, hi = layer.span(places[first], places[final] + 1)
+                    starts.append(lo)
+                    ends.append(hi)
+                    at += n
+                yield Layer(text, starts, ends)
+            for at, text in _opened(raw, limits, large):
+                yield Layer(text, *layer.span(places[skip + at * 4 // 3], stop))
+
+
+def _spelled(layer: Layer, limits: Limits, large: list[int]) -> Iterator[Layer]:
+    """Layers inside compressed bytes that are written with URL or \\x escapes."""
+    for pattern, token in ((URL_BYTES, URL_BYTE), (HEX_BYTES, HEX_BYTE)):
+        if ("%" if pattern is URL_BYTES else "\\x") not in layer.text:
             continue
-        if packed is raw:  # three bytes stand in four characters
-            starts, ends, at = [], [], 0
-            for c in text:
-                size = len(c.encode())
-                lo, hi = layer.span(m.start() + at * 4 // 3, m.start() + -(-(at + size) * 4 // 3))
-                starts.append(lo)
-                ends.append(hi)
-                at += size
-        else:
-            lo, hi = layer.span(*m.span())
-            starts, ends = [lo] * len(text), [hi] * len(text)
-        yield Layer(text, starts, ends)
+        for m in pattern.finditer(layer.text):
+            raw, places, stop = bytearray(), [], m.end()
+            before = layer.text[m.start() - 1 : m.start()]
+            for one in token.finditer(layer.text, *m.span()):
+                got = one.group()
+                if got == before and got in ("'", '"'):  # a literal ends
+                    stop = one.start()
+                    break
+                if len(got) > 2:
+                    raw.append(int(got[-2:], 16))
+                elif len(got) == 2:
+                    raw.append(ord(PLAIN_ESCAPES.get(got[1], got[1])))
+                else:
+                    raw.append(ord(got))
+                places.append(one.start())
+            for at, text in _opened(bytes(raw), limits, large):
+                yield Layer(text, *layer.span(places[at], stop))
+
+
+def _inner(layer: Layer, limits: Limits, large: list[int]) -> Iterator[Layer]:
+    if "%" in layer.text and (new := _unescaped(layer, URL_ESCAPES, _url)):
+        yield new
+    if ("\\" in layer.text or "&#" in layer.text) and (new := _unescaped(layer, UNICODE_ESCAPES, _unicode)):
+        yield new
+    yield from _spelled(layer, limits, large)
+    yield from _parts(layer, limits, large)
 
 
 def scan(text: str | None, limits: Limits = Limits()) -> tuple[list, list, int, int]:
-    """Base findings, all findings, layers opened, parts too large to open."""
+    """Base findings, all findings, layers opened, parts that were scanned in pieces."""
     text = text or ""
     base = base_findings(text)
     found = set(base)
-    work, seen, layers, too_large = deque([Layer(text)]), {hash((text, 0))}, 0, 0
+    # Depth first, so that one piece of a large part is held at a time.
+    work, seen, layers, large = [iter([Layer(text)])], {hash((text, 0))}, 0, []
     while work:
-        layer = work.popleft()
-        layers += 1
-        if layer.start is not None:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layers:
+            mark = hash((layer.text, layer.span(0, 1)[0]))
+            if mark in seen:
+                continue
+            seen.add(mark)
             found.update((kind, *layer.span(lo, hi)) for kind, lo, hi in base_findings(layer.text))
-        opened = []
-        if "%" in layer.text:
-            opened.append(_unescaped(layer, URL_ESCAPES, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            opened.append(_unescaped(layer, UNICODE_ESCAPES, _unicode))
-        opened = [x for x in opened if x is not None]
-        for part in _parts(layer, limits):
-            if part is None:
-                too_large += 1
-            else:
-                opened.append(part)
-        for new in opened:
-            mark = hash((new.text, new.start[0] if new.start else 0))
-            if mark not in seen:
-                seen.add(mark)
-                work.append(new)
+        layers += 1
+        work.append(_inner(layer, limits, large))
     order = {kind: k for k, kind in enumerate(KINDS)}
-    return base, sorted(found, key=lambda f: (f[1], order[f[0]], f[2])), layers - 1, too_large
+    return base, sorted(found, key=lambda f: (f[1], order[f[0]], f[2])), layers - 1, len(large)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

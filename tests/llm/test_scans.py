@@ -100,6 +100,40 @@ def test_cycles_end_and_bombs_are_counted():
     assert secrets.scan(urllib.parse.quote("plain text, nothing to see"))[1] == []
 
 
+MORE = "".join(random.Random(1).choices("abcdefghij klmn", k=400))
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        base64.encodebytes(gzip.compress((MORE + SECRET).encode())).decode(),
+        base64.encodebytes((MORE[:45] + SECRET + MORE).encode()).decode(),
+        base64.encodebytes(gzip.compress((MORE + SECRET).encode())).decode().replace("\n", "\r\n  "),
+        "https://x.io/cb/" + base64.b64encode(SECRET.encode()).decode(),
+        "v1-" + base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+        "key_" + base64.urlsafe_b64encode(SECRET.encode()).decode(),
+        urllib.parse.quote(gzip.compress(SECRET.encode())),
+        urllib.parse.quote(zlib.compress(SECRET.encode())),
+        repr(gzip.compress(SECRET.encode())),
+        repr(zlib.compress((MORE + SECRET).encode())),
+        urllib.parse.quote(b"a\xff" + b"".join(b"%%%02X" % c for c in SECRET.encode())),
+        base64.b64encode(("\x01\x02 start of the text " + SECRET).encode()).decode(),
+        base64.b64encode(gzip.compress(MORE.encode()) + gzip.compress(SECRET.encode())).decode(),
+    ],
+)
+def test_real_encodings_are_opened(coded):
+    text = f"words before | {coded} | and after"
+    spans = [f for f in secrets.scan(text)[1] if f[0] == "assign"]
+    lo = text.index(coded)
+    assert spans and all(lo <= a < b <= lo + len(coded) for _, a, b in spans)
+
+
+def test_large_parts_are_scanned_in_pieces():
+    raw = b"ab " * 3000 + SECRET.encode() + b" cd" * 3000
+    _, found, _, large = secrets.scan(base64.b64encode(gzip.compress(raw)).decode(), secrets.Limits(layer_bytes=1000))
+    assert large == 1 and any(f[0] == "assign" for f in found)
+
+
 def plain_words(text: str | None) -> list[str]:
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(fold))
