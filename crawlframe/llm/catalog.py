@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlframe.llm import chat, decontaminate, htmlmain, jaccard, licenses, maglev, mixing, quality, secrets, suffix_tree
+from crawlframe.llm import align, chat, decontaminate, htmlmain, jaccard, licenses, maglev, mixing, quality, resample
+from crawlframe.llm import secrets, suffix_tree, warcsource
 from crawlframe.llm.common import table
 
 
@@ -58,6 +59,18 @@ def op9_sharding_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warcsource.archived(table(spark, sf_dir, "pages"))
+
+
 def _sql_escaped(column: str) -> str:
     text = f"replace({column}, '\\', '\\\\')"
     for word in chat.CONTROL:
@@ -109,6 +122,65 @@ SELECT doc_id, keyed.slot, o.name AS shard
 FROM keyed JOIN turns ON turns.slot = keyed.slot JOIN orders AS o ON o.at = turns.t % {maglev.SHARDS}
 """
 
+# CRC-32 byte by byte over each distinct word, with the table that its polynomial gives.
+OP12_SQL = f"""
+WITH crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t
+), d AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM documents
+), dw AS (SELECT row, unnest(ws) AS w FROM d),
+bw AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark
+), h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+v AS (
+    SELECT w, xor(4294967295, list_reduce(
+        list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(crc.t[xor(c, b) % 256 + 1], c >> 8), 4294967295)) % {resample.BUCKETS} AS b
+    FROM h, crc
+), dc AS (SELECT b, count(*) AS s FROM dw JOIN v USING (w) GROUP BY b),
+bc AS (SELECT b, count(*) AS t FROM bw JOIN v USING (w) GROUP BY b),
+g AS (
+    SELECT r.b, floor(1000 * ln(
+        (coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM dc)::DOUBLE + {resample.BUCKETS})
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM bc)::DOUBLE + {resample.BUCKETS}))))::BIGINT AS gain
+    FROM range({resample.BUCKETS}) AS r(b) LEFT JOIN dc USING (b) LEFT JOIN bc USING (b)
+), total AS (SELECT row, sum(gain)::BIGINT AS gain FROM dw JOIN v USING (w) JOIN g USING (b) GROUP BY row),
+scored AS (
+    SELECT d.row, doc_id, len(ws)::BIGINT AS n_features,
+        CASE WHEN len(ws) = 0 THEN 0 ELSE (gain - ((gain % len(ws)) + len(ws)) % len(ws)) // len(ws) END::BIGINT AS weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296)))::BIGINT AS noise
+    FROM d LEFT JOIN total USING (row)
+), fit AS (
+    SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= {resample.LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+    CASE WHEN place <= {resample.PERCENT} * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN fit USING (row)
+"""
+
+# SHA-1 digits in fours of ten, each turned into eight digits of base 32.
+OP13_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h,
+        min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+    FROM pages
+)
+SELECT page_id, payload_bytes,
+    list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) % 32 + 1)::INT, 1)),
+        lambda a, b: a || b) AS payload_digest,
+    CASE WHEN page_id <> first OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first OR (page_id IS NULL AND first IS NOT NULL) THEN first END AS refers_to
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -120,6 +192,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination_cgk": op8_decontamination_cgk,
     "op9_sharding_maglev": op9_sharding_maglev,
     "op10_main_text": op10_main_text,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_warc_source": op13_warc_source,
 }
 
-ORACLE: dict[str, str] = {"op5_chat_events": OP5_SQL, "op9_sharding_maglev": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op5_chat_events": OP5_SQL, "op9_sharding_maglev": OP9_SQL,
+    "op12_importance_resampling": OP12_SQL, "op13_warc_source": OP13_SQL,
+}
