@@ -35,8 +35,8 @@ def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own estimate puts ``df`` below its broadcast threshold."""
     spark = df.sparkSession
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
-    unit = {"k": 2**10, "m": 2**20, "g": 2**30}.get(limit.rstrip("b")[-1:], 1)
-    allowed = int(limit.rstrip("bkmg")) * unit
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40, "p": 2**50}.get(limit.rstrip("b")[-1:], 1)
+    allowed = int(limit.rstrip("bkmgtp")) * unit
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= allowed
 

@@ -15,7 +15,9 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
 
     Fields: scheme, authority, domain, path, query, fragment, url, error. ``url``
     has no fragment. ``domain`` is NULL for IP hosts. ``error`` is NULL for a
-    good http(s) URL; otherwise all other fields are NULL. With ``base`` (a
+    good http(s) URL; otherwise all other fields are NULL. International host
+    names are turned to their ASCII form; those without one have error
+    ``idn_host``. With ``base`` (a
     struct column that this function made) relative references are joined to
     it; without, they have error ``relative``.
 
@@ -54,7 +56,8 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
         f"""CASE WHEN _q IS NOT NULL THEN {U.percent_encode('_q', U.QUERY_UNSAFE)}
             WHEN NOT _net AND _p = '' THEN {of_base('query')} END AS _query""",
         """CASE WHEN contains(_h, '%') THEN lower(try_url_decode(replace(_h, '+', '%2B')))
-            ELSE _h END AS _host""",
+            ELSE _h END AS _name_host""",
+        f"CASE WHEN {U.not_ascii('_name_host')} THEN {U.punycoded('_name_host')} ELSE _name_host END AS _host",
         f"{U.ends_in_number('_host')} AS _four",
         f"CASE WHEN _four THEN {U.ipv4_text('_host')} END AS _ip",
         "startswith(_host, '[') AS _six",
@@ -75,10 +78,10 @@ def parse_urls(df: DataFrame, raw: str, out: str = "u", base: str | None = None)
         f"""CASE WHEN _r IS NULL THEN 'missing'
             WHEN _s <> '' AND NOT _web THEN 'scheme'
             WHEN NOT _net THEN {f"CASE WHEN {base}.error IS NOT NULL THEN 'bad_base' END" if base else "'relative'"}
+            WHEN _host IS NULL AND {U.not_ascii('_name_host')} THEN 'idn_host'
             WHEN coalesce(_host, '') = '' THEN 'bad_host'
             WHEN _six THEN CASE WHEN NOT _host RLIKE {text(U.BRACKETED)} THEN 'bad_host' END
             WHEN _host RLIKE {text(U.HOST_FORBIDDEN)} THEN 'bad_host'
-            WHEN _host RLIKE '[^\\\\x00-\\\\x7F]' THEN 'idn_host'
             WHEN _four AND _ip IS NULL THEN 'bad_host'
             WHEN length(_port) > 5 OR lpad(_port, 5, '0') > '65535' THEN 'bad_port'
             END AS _error""",

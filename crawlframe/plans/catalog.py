@@ -201,6 +201,52 @@ def warc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _archive(spark: SparkSession, sf: str) -> str:
+    """An archive sorted by key that holds two captures of every page, a day apart, in two jobs."""
+    path = fresh_path(spark, "archive")
+    first = X.fetches(spark, sf)
+    again = first.withColumn("start", F.expr("start + INTERVAL 1 DAY")).withColumn("body", F.expr("concat(body, X'0A')"))
+    for fetched in (first, again):
+        warc.write_sorted(archive.archive_records(fetched), path)
+    return path
+
+
+def _captured(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "target_uri", "warc_date", "split(make_valid_utf8(cast(http AS string)), '\\r\\n\\r\\n', 2)[1] AS body"
+    )
+
+
+def archive_by_url(spark: SparkSession, sf: str) -> DataFrame:
+    """The captures of the first and the last page by URL."""
+    path = _archive(spark, sf)
+    chosen = list(X.pages(spark, sf).agg(F.min("url"), F.max("url")).first())
+    return _captured(archive.captures(spark, path, chosen))
+
+
+def archive_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The captures of all pages that were fetched by plain http, asked for by https and twice."""
+    path = _archive(spark, sf)
+    asked = X.known_pages(spark, sf).selectExpr("replace(url, 'http://', 'https://') AS url")
+    return _captured(archive.captures_of(asked.union(asked), path))
+
+
+def archive_below_path(spark: SparkSession, sf: str) -> DataFrame:
+    """What the last site by name holds below /en, and all sites below example.com under /de."""
+    path = _archive(spark, sf)
+    site = archive.captures_below(spark, path, _two_names(spark, sf)[1], "/en", payload=False)
+    zone = archive.captures_below(spark, path, "example.com", "/de", subdomains=True, payload=False)
+    return site.unionByName(zone).select("target_uri", "warc_date")
+
+
+def idn_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page with links to international hosts below its site, and one that has no ASCII form."""
+    hosts = ["bücher", "BÜCHER", "日本語", "straße", "ü" * 64]
+    more = ", ".join(f"'<a href=\"//{host}.', u.authority, '/x\">i</a>'" for host in hosts)
+    pages = parse_urls(X.pages(spark, sf), "url").selectExpr("page_id", "url", f"concat({more}) AS html")
+    return links.resolved(pages).selectExpr("page_id", "pos", "u.url AS url", "u.domain AS domain", "reason")
+
+
 def _round_fetches(spark: SparkSession, sf: str) -> DataFrame:
     """Pages, the main page of each site and the sitemap files, all in one round."""
     columns = ["page_id", "url", "body", "context"]
@@ -311,14 +357,22 @@ def stream_politeness(spark: SparkSession, sf: str) -> DataFrame:
     return politeness_stream.latest(spark, root)
 
 
-def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
-    log = _log(spark, sf)
+def _follow_robots(spark: SparkSession, log: DataFrame, slices: list[DataFrame], lateness: str) -> str:
+    """Deliver the slices one by one to the robots stream; returns the folder of its results."""
     inbox, root, checkpoint = (fresh_path(spark, n) for n in ("inbox", "state", "progress"))
-    for part in _log_slices(spark, log):
+    for part in slices:
         part.write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(log.schema).parquet(inbox)
-        robots_stream.start(stream, root, checkpoint).awaitTermination()
-    robots_stream.start(stream, root, checkpoint).awaitTermination()  # a restart without new rows
+        robots_stream.start(stream, root, checkpoint, lateness=lateness).awaitTermination()
+    robots_stream.start(stream, root, checkpoint, lateness=lateness).awaitTermination()  # a restart without new rows
+    return root
+
+
+def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
+    """The log in three deliveries, each from all times: late fetches keep their place."""
+    log = _log(spark, sf)
+    mixed = [log.filter(F.expr(f"pmod(xxhash64(event_id), 3) = {i}")) for i in range(3)]
+    root = _follow_robots(spark, log, mixed, "1000 days")
     state = robots_stream.latest(spark, root)
     found = X.lookups(log).join(state, "authority", "left")
     return _plain_times(
@@ -326,6 +380,15 @@ def stream_robots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """The log in three deliveries by time: sites that come due after a failure without another fetch."""
+    log = _log(spark, sf)
+    root = _follow_robots(spark, log, _log_slices(spark, log), "0 seconds")
+    return robots_stream.due_retries(spark, root).selectExpr(
+        "authority", "unix_micros(failed) AS failed_us", "unix_micros(due) AS due_us"
+    )
+
+
 def stream_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """First the http pages arrive, then the others; the frontier grows by what is new."""
     fetched = X.fetches(spark, sf).select("page_id", "url", "body", "context")
@@ -372,6 +435,10 @@ QUERIES: dict[str, Query] = {
     "fetch_schedule": fetch_schedule,
     "warc_records": warc_records,
     "warc_roundtrip": warc_roundtrip,
+    "archive_by_url": archive_by_url,
+    "archive_by_table": archive_by_table,
+    "archive_below_path": archive_below_path,
+    "idn_links": idn_links,
     "crawl_round": crawl_round_query,
     "round_rejects": round_rejects,
     "round_retries": round_retries,
@@ -381,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "outlinks_allowed_hosts": outlinks_allowed_hosts,
     "robots_from_fetches": robots_from_fetches,
     "stream_robots": stream_robots,
+    "stream_retries": stream_retries,
     "stream_politeness": stream_politeness,
     "stream_frontier": stream_frontier,
 }

@@ -162,6 +162,14 @@ lg AS ("""
 SELECT authority AS name, path, CAST(NULL AS VARCHAR) AS query FROM lg WHERE decision = 'Allowed'"""
 )
 
+CAPTURES = (
+    PAGES
+    + f""",
+c AS (SELECT url AS target_uri, authority, path, coalesce('?' || query, '') AS q, {DATE} AS warc_date, html AS body FROM p
+      UNION ALL SELECT url, authority, path, coalesce('?' || query, ''), {DATE.replace("page_id)", "86400 + page_id)")},
+             html || chr(10) FROM p)"""
+)
+
 ORACLE: dict[str, str] = {
     "link_summary": f"WITH {PAGES} SELECT authority AS domain, CAST(count(*) AS BIGINT) AS n_links,"
     " CAST(count(DISTINCT url) AS BIGINT) AS n_targets FROM a GROUP BY authority",
@@ -227,6 +235,22 @@ ORACLE: dict[str, str] = {
         || {LENGTH} || 'xxWARC-Date: ' || {DATE} || 'xxxxxxxx')) AS BIGINT) AS fixed_bytes FROM pages""",
     "warc_roundtrip": f"SELECT url AS target_uri, {LENGTH} AS content_length, {DATE} AS warc_date,"
     " html AS body FROM pages",
+    "archive_by_url": f"""WITH {CAPTURES},
+        asked AS (SELECT DISTINCT authority, path, q FROM c WHERE target_uri IN
+                  (SELECT min(url) FROM pages UNION SELECT max(url) FROM pages))
+        SELECT target_uri, warc_date, body FROM c JOIN asked USING (authority, path, q)""",
+    "archive_by_table": f"""WITH {CAPTURES},
+        asked AS (SELECT DISTINCT authority, path, q FROM c WHERE target_uri LIKE 'http:%')
+        SELECT target_uri, warc_date, body FROM c JOIN asked USING (authority, path, q)""",
+    "archive_below_path": f"""WITH {CAPTURES} SELECT target_uri, warc_date FROM c
+        WHERE authority = (SELECT max(authority) FROM p) AND starts_with(path || q, '/en')
+        UNION ALL SELECT target_uri, warc_date FROM c
+        WHERE (authority = 'example.com' OR authority LIKE '%.example.com') AND starts_with(path || q, '/de')""",
+    "idn_links": f"""WITH {PAGES}, h(pos, host) AS (VALUES (0, 'xn--bcher-kva'), (1, 'xn--bcher-kva'),
+            (2, 'xn--wgv71a119e'), (3, 'xn--strae-oqa'), (4, NULL))
+        SELECT page_id, pos, scheme || '://' || host || '.' || authority || '/x' AS url,
+            host || '.' || authority AS domain, CASE WHEN host IS NULL THEN 'idn_host' END AS reason
+        FROM p, h""",
     "crawl_round": f"WITH {ROUND}",
     "round_rejects": f"""WITH {TROUBLED}
         SELECT 'page' AS stage, url AS key, 'disallowed' AS reason FROM fg WHERE decision = 'Disallowed'
@@ -255,6 +279,12 @@ ORACLE: dict[str, str] = {
     "robots_from_fetches": f"WITH {PAGES}{ROBOTS} SELECT authority, access,"
     " CASE access WHEN 'Ok' THEN 3 ELSE 0 END AS n_rules FROM r",
     "stream_robots": f"WITH {STATE}",
+    "stream_retries": f"""WITH {LOG},
+        step AS (SELECT authority, at_us, status, at_us + 84000000000 AS due_us,
+                 lead(at_us) OVER (PARTITION BY authority ORDER BY at_us, event_id) AS next_us FROM log)
+        SELECT authority, at_us AS failed_us, due_us FROM step
+        WHERE status = 503 AND (next_us IS NULL OR next_us > due_us)
+            AND due_us <= (SELECT max(at_us) FROM log) // 1000 * 1000""",
     "stream_politeness": f"WITH {POLITE} SELECT authority, avg_us, until_us FROM last_polite",
     "stream_frontier": f"WITH {STREAM_FRONTIER}",
 }

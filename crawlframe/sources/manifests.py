@@ -4,7 +4,8 @@ A task writes files under names that no other attempt uses and lists them in a
 manifest of its own. The job's commit is one small file that names the manifests
 of the attempts that count; it appears by a single rename. Readers start from the
 commits, so files of failed or repeated attempts and of overwritten jobs are
-never seen. :func:`vacuum` deletes those.
+never seen. :func:`vacuum` deletes those. Files that another program put into such a
+folder are not seen either; a folder without commits is read by its listing.
 
 Layout below the root: data files of any name; ``_tasks/<job>/<task>.json``, one
 manifest per task; ``_commits/<job>.json``.
@@ -78,6 +79,11 @@ def _range(found: list) -> tuple[str | None, str | None]:
     return min(f.low for f in found), max(f.high for f in found)
 
 
+def prepare(files: pafs.FileSystem, root: str) -> None:
+    """Mark the folder as one that commits, before the first data file is in it."""
+    files.create_dir(posixpath.join(root, COMMITS), recursive=True)
+
+
 def finish_task(files: pafs.FileSystem, root: str, job: str, attempt: str, done: list[File]) -> Task:
     """Write a task's manifest after its files are closed; a task without files needs none."""
     if not done:
@@ -113,12 +119,11 @@ def _commits(files: pafs.FileSystem, root: str) -> list[str]:
 
 
 def committed(path: str) -> list[Task] | None:
-    """The tasks of all commits, or None where nothing was committed by manifests."""
+    """The tasks of all commits; None for a folder that another program wrote."""
     files, root = place(path)
-    found = _commits(files, root)
-    if not found:
+    if files.get_file_info(posixpath.join(root, COMMITS)).type != pafs.FileType.Directory:
         return None
-    return [Task(**t) for c in found for t in _load(files, c)]
+    return [Task(**t) for c in _commits(files, root) for t in _load(files, c)]
 
 
 def plan(path: str, split: int, suffix: str, wanted=lambda task: True) -> list[Part]:

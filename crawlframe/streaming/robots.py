@@ -1,72 +1,206 @@
-"""Robots freshness per authority over a stream of robots.txt fetches.
-
-Each micro-batch is reduced with the batch operator, whose aggregates combine
-before they shuffle, so one busy authority does not land in one task. The state
-is a table with one row per authority, one snapshot per micro-batch.
+"""Robots freshness per authority over a stream of robots.txt fetches, and retries that come due.
+
+The state of an authority is keyed state in RocksDB. It does not depend on the
+order in which fetches arrive: every fetch that is newer than the watermark less
+the retry delay is kept as a point (time, event, access), and the older ones as
+a summary that no later arrival can change. A run of failures thus begins where
+the batch operator says, also when a success between two failures comes last.
+
+After a failure the site is due again in ``RETRY_SECONDS``, unless it was fetched
+once more until then. An event-time timer decides that when the watermark has
+passed the due time, so a fetch that arrives late, within the lateness allowed,
+still cancels the retry, and each retry is emitted once.
 """
 
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from crawlframe import schemas
-from crawlframe.operators.robots import run_heads
+from crawlframe.functions import robots as R
+from crawlframe.streaming.politeness import PROVIDER, ROCKSDB
 
+POINT = "at_us bigint, event_id bigint, access string"
+SUMMARY = f"{POINT}, ok_us bigint, ok_id bigint, first_us bigint, first_id bigint"
+EVENT = (
+    "authority string, kind string, access string, updated_us bigint, first_tried_us bigint, due_us bigint"
+)
 STATE = "authority string, access string, updated timestamp, first_tried timestamp"
+RETRY = "authority string, failed timestamp, due timestamp"
 
+RETRY_US = R.RETRY_SECONDS * 1_000_000
+DOWN = "Unreachable"
 
-def snapshot(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    """State after a micro-batch; before the first one it is empty."""
-    if batch_id >= 0:
-        return spark.read.schema(STATE).parquet(posixpath.join(root, f"batch_id={batch_id}"))
-    return schemas.empty(spark, STATE)
+Point = tuple[int, int, str]
 
 
-def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after ``batch``; a run of failures may have begun before it.
+class RobotsState(StatefulProcessor):
+    """Points and summary of one authority.
 
-    A delivery that is older than the state leaves it as it is.
+    The summary holds the latest point folded into it, the last that was no
+    failure, and the first failure after that. Failures are folded when their
+    timer has fired; other points once no failure that is still open, or may
+    still arrive, can need them. So an authority holds the fetches of about the
+    retry delay plus the allowed lateness.
     """
-    both = old.alias("o").join(run_heads(batch).alias("n"), "authority", "full")
-    late = "n.access IS NULL OR n.updated < o.updated"
-    return both.selectExpr(
-        "authority",
-        f"CASE WHEN {late} THEN o.access ELSE n.access END AS access",
-        f"CASE WHEN {late} THEN o.updated ELSE n.updated END AS updated",
-        f"""CASE WHEN {late} THEN o.first_tried
-           WHEN n.access = 'Unreachable' AND NOT n.had_ok AND o.access = 'Unreachable'
-           THEN o.first_tried ELSE n.first_tried END AS first_tried""",
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", POINT)
+        self.summary = handle.getValueState("summary", SUMMARY)
+
+    def _load(self) -> tuple[list[Point], tuple | None]:
+        points = [(int(a), int(e), x) for a, e, x in self.points.get()] if self.points.exists() else []
+        return points, tuple(self.summary.get()) if self.summary.exists() else None
+
+    def _store(self, points: list[Point], summary: tuple | None) -> None:
+        if points:
+            self.points.put(points)
+        else:
+            self.points.clear()
+        if summary:
+            self.summary.update(summary)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        points, summary = self._load()
+        known = set(points)
+        for batch in rows:
+            fresh = batch[["start_us", "event_id", "access"]].itertuples(index=False, name=None)
+            for point in {(int(a), int(e), x) for a, e, x in fresh} - known:
+                known.add(point)
+                if point[2] == DOWN:
+                    self.handle.registerTimer(due_ms(point))
+        points = sorted(known)
+        open_until = min((p[0] for p in points if p[2] == DOWN), default=None)
+        limit = timerValues.getCurrentWatermarkInMs() * 1000 - RETRY_US
+        if open_until is not None:
+            limit = min(limit, open_until)
+        old = [p for p in points if p[0] < limit]
+        points, summary = points[len(old) :], folded(summary, old)
+        self._store(points, summary)
+        access, updated, first = state_of(points, summary)
+        yield pd.DataFrame(
+            {
+                "authority": [key[0]], "kind": ["state"], "access": [access], "updated_us": [updated],
+                "first_tried_us": pd.array([first], "Int64"), "due_us": pd.array([None], "Int64"),
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        points, summary = self._load()
+        over = [p for p in points if p[2] == DOWN and due_ms(p) <= fired]
+        for at, point in enumerate(points):
+            due = point[0] + RETRY_US
+            follower = points[at + 1] if at + 1 < len(points) else None
+            if point in over and (follower is None or follower[0] > due):
+                yield pd.DataFrame(
+                    {
+                        "authority": [key[0]], "kind": ["retry"], "access": [DOWN], "updated_us": [point[0]],
+                        "first_tried_us": pd.array([None], "Int64"), "due_us": pd.array([due], "Int64"),
+                    }
+                )
+        if over:
+            cut = points.index(over[-1]) + 1
+            self._store(points[cut:], folded(summary, points[:cut]))
+
+    def close(self) -> None:
+        pass
+
+
+def due_ms(point: Point) -> int:
+    return -(-(point[0] + RETRY_US) // 1000)
+
+
+def folded(summary: tuple | None, old: list[Point]) -> tuple | None:
+    """The summary after more points, which are all newer than those in it."""
+    for point in old:
+        ok, first = (summary[3:5], summary[5:7]) if summary else ((None, None), (None, None))
+        if point[2] != DOWN:
+            ok, first = point[:2], (None, None)
+        elif first[0] is None:
+            first = point[:2]
+        summary = (*point, *ok, *first)
+    return summary
+
+
+def state_of(points: list[Point], summary: tuple | None) -> tuple[str, int, int | None]:
+    """Latest access and its time, and when the run of failures began that it belongs to."""
+    whole = folded(summary, points)
+    return whole[2], int(whole[0]), None if whole[2] != DOWN else int(whole[5])
+
+
+def events(log: DataFrame, lateness: str) -> DataFrame:
+    """Streaming frame of changed states and due retries (``EVENT``)."""
+    narrow = log.select(
+        "authority", "start", F.unix_micros("start").alias("start_us"), "event_id", F.expr(R.access("status")).alias("access")
+    )
+    return (
+        narrow.withWatermark("start", lateness)
+        .groupBy("authority")
+        .transformWithStateInPandas(RobotsState(), EVENT, "Update", "EventTime")
     )
 
 
 def start(
-    log: DataFrame, root: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+    log: DataFrame,
+    root: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] | None = None,
+    lateness: str = "7 days",
 ) -> StreamingQuery:
     """Follow ``log`` (authority, event_id, start, status); running a batch again is harmless.
 
-    ``trigger`` holds the arguments of Spark's trigger.
+    Every micro-batch writes the states that it changed and the retries that came
+    due to a folder of its own, once. Fetches that arrive more than ``lateness`` after
+    newer ones of any site are dropped by the watermark. ``trigger`` holds the
+    arguments of Spark's trigger.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot(batch.sparkSession, root, batch_id - 1)
         path = posixpath.join(root, f"batch_id={batch_id}")
-        merged(old, batch).write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").partitionBy("kind").parquet(path)
 
-    return (
-        log.writeStream.foreachBatch(step)
+    writer = (
+        events(log, lateness)
+        .writeStream.foreachBatch(step)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    conf = log.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        conf.set(PROVIDER, before)
+
+
+def _read(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    rows = spark.read.schema(f"{EVENT}, batch_id bigint").parquet(root)
+    return rows.filter(F.col("kind") == kind)
 
 
 def latest(spark: SparkSession, root: str) -> DataFrame:
-    """State after the newest micro-batch that was written; only that snapshot is read."""
-    all_batches = spark.read.schema(f"{STATE}, batch_id bigint").parquet(root)
-    newest = all_batches.select("batch_id").agg(F.max("batch_id")).first()[0]
-    return snapshot(spark, root, -1 if newest is None else newest)
+    """Newest state of each authority."""
+    newest = _read(spark, root, "state").groupBy("authority").agg(
+        F.max_by(F.struct("access", "updated_us", "first_tried_us"), "batch_id").alias("s")
+    )
+    return newest.select(
+        "authority", "s.access", F.timestamp_micros("s.updated_us").alias("updated"),
+        F.timestamp_micros("s.first_tried_us").alias("first_tried"),
+    )
+
+
+def due_retries(spark: SparkSession, root: str) -> DataFrame:
+    """All retries that came due so far (``RETRY``): sites whose robots.txt is to be fetched again."""
+    return _read(spark, root, "retry").select(
+        "authority", F.timestamp_micros("updated_us").alias("failed"), F.timestamp_micros("due_us").alias("due")
+    )

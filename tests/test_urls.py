@@ -53,6 +53,14 @@ JOINED = {
     "/a?b?c#d#e": "https://ex.com/a?b?c",
     "/p:q": "https://ex.com/p:q",
     "http://h:080/": "http://h/",
+    "http://bücher.de/": "http://xn--bcher-kva.de/",
+    "http://BÜCHER.de:80/": "http://xn--bcher-kva.de/",
+    "//日本語。jp/x": "https://xn--wgv71a119e.jp/x",
+    "http://straße.de": "http://xn--strae-oqa.de/",
+    "http://i❤.ws/": "http://xn--i-7iq.ws/",
+    "http://b%C3%BCcher.de/": "http://xn--bcher-kva.de/",
+    "http://xn--bcher-kva.de/": "http://xn--bcher-kva.de/",
+    "http://１２７.0.0.1/": "http://127.0.0.1/",
 }
 
 DROPPED = {
@@ -72,7 +80,8 @@ DROPPED = {
     "http://1.2.3.4.5/": "unparsable",
     "http://256.1.1.1/": "unparsable",
     "http://09.1/": "unparsable",
-    "http://bücher.de/": "idn_host",
+    f"http://{'ü' * 64}.de/": "idn_host",
+    "http://a／ü.de/": "unparsable",
 }
 
 
