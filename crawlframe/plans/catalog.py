@@ -15,7 +15,7 @@ from crawlframe.plans import fixtures as X
 from crawlframe.plans.crawl_round import Round, crawl_round
 from crawlframe.session import fresh_path, written
 from crawlframe.sources import warc
-from crawlframe.sources.frontier_store import FrontierStore
+from crawlframe.sources.keyed_frontier import KeyedFrontier
 from crawlframe.streaming import frontier as frontier_stream
 from crawlframe.streaming import politeness as politeness_stream
 from crawlframe.streaming import robots as robots_stream
@@ -152,6 +152,28 @@ def frontier_select(spark: SparkSession, sf: str) -> DataFrame:
     return _waiting(spark, sf).select(*frontier.KEY, "rank", "turn")
 
 
+def _keyed(spark: SparkSession) -> KeyedFrontier:
+    return KeyedFrontier(spark, fresh_path(spark, "keyed"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def frontier_keyed_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """The second of two batches into the bucketed frontier, the first one run twice."""
+    store = _keyed(spark)
+    known = frontier.offered_urls(links.html_outlinks(X.known_pages(spark, sf)))
+    store.add(known, 0)
+    store.add(known, 0)
+    store.add(frontier.offered_urls(X.links(spark, sf)), 1)
+    return _keys(store.read("url").filter("batch_id = 1"), store.read("domain"))
+
+
+def frontier_keyed_select(spark: SparkSession, sf: str) -> DataFrame:
+    """What a bucketed frontier over all pages hands out in its second turn."""
+    store = _keyed(spark)
+    store.add(frontier.offered_urls(X.links(spark, sf)), 0)
+    store.mark(store.hand_out(0), 0)
+    return store.hand_out(1).select(*frontier.KEY, "rank", "turn")
+
+
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
     return robots.robots_table(X.robots(spark, sf), X.BOT)
 
@@ -394,7 +416,7 @@ def stream_frontier(spark: SparkSession, sf: str) -> DataFrame:
     fetched = X.fetches(spark, sf).select("page_id", "url", "body", "context")
     rules = written(_rules(spark, sf), "rules")
     inbox, root, checkpoint = (fresh_path(spark, n) for n in ("inbox", "frontier", "progress"))
-    store = FrontierStore(spark, root)
+    store = KeyedFrontier(spark, root, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = F.col("url").startswith("http:")
     for part in (fetched.filter(plain), fetched.filter(~plain)):
         part.write.mode("append").parquet(inbox)
@@ -417,6 +439,8 @@ QUERIES: dict[str, Query] = {
     "outlinks_by_context": outlinks_by_context,
     "frontier_new_domains": frontier_new_domains,
     "frontier_insert": frontier_insert,
+    "frontier_keyed_insert": frontier_keyed_insert,
+    "frontier_keyed_select": frontier_keyed_select,
     "frontier_rejects": frontier_rejects,
     "frontier_stats": frontier_stats,
     "frontier_integrity": frontier_integrity,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -83,18 +83,21 @@ def gated_links(links: DataFrame, rules: DataFrame) -> DataFrame:
 def crawl_round(
     fetched: DataFrame,
     rules: DataFrame,
-    domain: DataFrame,
-    url: DataFrame,
+    domain: DataFrame | None,
+    url: DataFrame | None,
     batch_id: int,
     extractors: Mapping[str, dispatch.Extractor] | None = None,
     checked_at: datetime | None = None,
+    merge: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> Round:
     """Links of ``fetched`` (page_id, url, body, context) merged into the frontier.
 
     Bodies are never shuffled: links leave them in the task that reads them, and
     the gate for the page itself applies to its links. The links are written
     once, with those that extraction drops, so the bodies are parsed a single
-    time. Retries count from ``checked_at``, by default from now.
+    time. Retries count from ``checked_at``, by default from now. ``merge`` turns
+    the distinct keys on offer into new domains and URLs; without it they meet
+    the given tables.
     """
     chosen = extractors or dispatch.default_extractors()
     barred = written(barred_pages(fetched, rules), "barred")
@@ -104,7 +107,8 @@ def crawl_round(
     links = written(found.unionByName(seed_links(pages, rules)), "links")
     gated = written(gated_links(links.filter("reason IS NULL"), rules), "gated")
     kept = gated.filter("decision = 'Allowed'")
-    new_domains, new_urls = frontier.insert(frontier.offered_urls(kept), domain, url, batch_id)
+    offered = frontier.offered_urls(kept)
+    new_domains, new_urls = merge(offered) if merge else frontier.insert(offered, domain, url, batch_id)
     rejects = (
         gated.filter("decision <> 'Allowed'")
         .selectExpr("'robots' AS stage", "u.url AS key", "lower(decision) AS reason")

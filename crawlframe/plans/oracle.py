@@ -210,6 +210,11 @@ ORACLE: dict[str, str] = {
     " WHERE name NOT IN (SELECT name FROM batch)",
     "frontier_select": f"WITH {WAITING} SELECT name, path, query, CAST(rank AS INTEGER) AS rank,"
     " CAST(turn AS INTEGER) AS turn FROM w",
+    "frontier_keyed_insert": f"WITH {KNOWN} SELECT name, path, query FROM fresh",
+    "frontier_keyed_select": f"""WITH {KNOWN},
+        w0 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, query NULLS FIRST) - 10 AS rank FROM batch),
+        w AS (SELECT *, count(*) OVER (PARTITION BY name) - rank + 1 AS turn FROM w0 WHERE rank BETWEEN 1 AND 10)
+        SELECT name, path, query, CAST(rank AS INTEGER) AS rank, CAST(turn AS INTEGER) AS turn FROM w""",
     "robots_access": f"WITH {PAGES}{ROBOTS} SELECT authority, access FROM r",
     "robots_rules": f"WITH {PAGES}{ROBOTS} SELECT authority, rx, len, allow FROM r, rule WHERE access = 'Ok'",
     "robots_gate": f"WITH {PAGES}{ROBOTS}, t AS (SELECT DISTINCT authority, path AS pq, url FROM a)"

@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from crawlframe.operators.dispatch import Extractor
 from crawlframe.plans.crawl_round import crawl_round
 from crawlframe.sources.frontier_store import FrontierStore
+from crawlframe.sources.keyed_frontier import KeyedFrontier
 
 
 def start(
     fetched: DataFrame,
     rules: DataFrame | Callable[[], DataFrame],
-    store: FrontierStore,
+    store: FrontierStore | KeyedFrontier,
     checkpoint: str,
     extractors: Mapping[str, Extractor] | None = None,
     trigger: Mapping[str, object] | None = None,
@@ -24,14 +25,21 @@ def start(
 
     A batch sees the frontier as it was before it and replaces its own
     folders, so a batch that runs twice adds nothing twice. Its rejects and
-    retries are stored too. ``rules`` may be a function that reads the rules
+    retries are stored too. With a :class:`KeyedFrontier` the URLs known before
+    are not moved. ``rules`` may be a function that reads the rules
     anew for every batch. ``trigger`` holds the arguments of Spark's trigger.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = store.read("domain", batch_id), store.read("url", batch_id)
         now = rules() if callable(rules) else rules
-        store.write_round(crawl_round(batch, now, *known, batch_id, extractors), batch_id)
+        if isinstance(store, KeyedFrontier):
+            done = crawl_round(
+                batch, now, None, None, batch_id, extractors, merge=lambda offered: store.merge(offered, batch_id)
+            )
+        else:
+            known = store.read("domain", batch_id), store.read("url", batch_id)
+            done = crawl_round(batch, now, *known, batch_id, extractors)
+        store.write_round(done, batch_id)
 
     return (
         fetched.writeStream.foreachBatch(step)
