@@ -181,6 +181,11 @@ def stored_url(domain: str, path: str, query: str) -> str:
     return f"concat('https://', {domain}, {target(path, query)})"
 
 
+def frontier_key(name: str, path: str, query: str) -> str:
+    """128 bits that stand for a frontier row; no query and an empty one differ, and it is never NULL."""
+    return f"unhex(md5(to_json(named_struct('n', {name}, 'p', {path}, 'q', {query}))))"
+
+
 def archive_key(u: str, raw: str) -> str:
     """Reversed host, path and query of a parsed URL; what cannot be parsed stands for itself, after all hosts."""
     host = f"coalesce(array_join(reverse(split({u}.domain, '\\\\.')), ','), regexp_replace({u}.authority, '^.*@|:[0-9]*$', ''))"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe import schemas
-from crawlframe.operators import archive, dispatch, frontier, links, politeness, robots, sitemaps, urls
+from crawlframe.operators import archive, dispatch, frontier, links, politeness, priority, robots, sitemaps, urls
 from crawlframe.operators.urls import parse_urls
 from crawlframe.plans import fixtures as X
 from crawlframe.plans.crawl_round import Round, crawl_round
@@ -133,19 +133,23 @@ def frontier_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.integrity(url, domain)
 
 
-def _waiting(spark: SparkSession, sf: str) -> DataFrame:
-    """What a frontier over all pages hands out after the http pages' links went."""
-    domain, url = _merge(spark, X.links(spark, sf), _empty(spark), 0)
+def _handed_out(spark: SparkSession, sf: str, domain: DataFrame, url: DataFrame) -> DataFrame:
+    """The rows of a frontier that the http pages link to."""
     gone = frontier.offered_urls(links.html_outlinks(X.known_pages(spark, sf))).alias("g")
     rows = frontier.named(url, domain).alias("f")
-    handed_out = rows.join(
+    return rows.join(
         gone,
         (F.col("f.name") == F.col("g.name"))
         & (F.col("f.path") == F.col("g.path"))
         & F.col("f.query").eqNullSafe(F.col("g.query")),
         "left_semi",
     ).select("url_id")
-    return frontier.select_urls(url, domain, handed_out)
+
+
+def _waiting(spark: SparkSession, sf: str) -> DataFrame:
+    """What a frontier over all pages hands out after the http pages' links went."""
+    domain, url = _merge(spark, X.links(spark, sf), _empty(spark), 0)
+    return frontier.select_urls(url, domain, _handed_out(spark, sf, domain, url))
 
 
 def frontier_select(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +178,40 @@ def frontier_keyed_select(spark: SparkSession, sf: str) -> DataFrame:
     return store.hand_out(1).select(*frontier.KEY, "rank", "turn")
 
 
+def _graph_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of all pages, each of which also links to three others: a tree and a chord."""
+    pages = X.pages(spark, sf)
+    n = pages.count()
+    ends = pages.selectExpr("page_id", f"explode(array(2 * page_id + 1, 2 * page_id + 2, page_id * page_id % {n})) AS to")
+    more = (
+        ends.join(pages.selectExpr("page_id AS to", "url AS target"), "to")
+        .selectExpr("page_id", "concat('<a href=\"', replace(target, '&', '&amp;'), '\">t</a>') AS tag")
+        .groupBy("page_id")
+        .agg(F.expr("array_join(collect_list(tag), '') AS tags"))
+    )
+    linked = pages.join(more, "page_id", "left").selectExpr("page_id", "url", "concat(html, coalesce(tags, '')) AS html")
+    return links.resolved(linked).filter("reason IS NULL").selectExpr("base", "u", "'Other' AS context")
+
+
+def url_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """Priorities of all links, from the first page by URL and three domain crossings on."""
+    pages = X.pages(spark, sf)
+    first = parse_urls(pages.agg(F.min("url").alias("url")), "url")
+    told = "concat(page_id % 13 DIV 10, '.', page_id % 13 % 10) AS priority"
+    declared = parse_urls(pages.selectExpr("url", told), "url")
+    return priority.url_priority(_graph_links(spark, sf), first, declared, max_hops=3)
+
+
+def next_by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """What a frontier over all pages hands out by priority after the http pages' links went."""
+    domain, url = _merge(spark, X.links(spark, sf), _empty(spark), 0)
+    value = priority.score("1D", "0", "path", "query", "length(path)")
+    url = url.withColumn("crawl_priority", F.expr(f"cast(CASE WHEN length(path) % 7 = 0 THEN 0 ELSE {value} END AS float)"))
+    url = written(url, "url")
+    chosen = priority.next_by_priority(url, domain, _handed_out(spark, sf, domain, url), per_domain=5)
+    return chosen.select(*frontier.KEY, "crawl_priority", "rank", "position")
+
+
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
     return robots.robots_table(X.robots(spark, sf), X.BOT)
 
@@ -441,6 +479,8 @@ QUERIES: dict[str, Query] = {
     "frontier_insert": frontier_insert,
     "frontier_keyed_insert": frontier_keyed_insert,
     "frontier_keyed_select": frontier_keyed_select,
+    "url_priority": url_priority,
+    "next_by_priority": next_by_priority,
     "frontier_rejects": frontier_rejects,
     "frontier_stats": frontier_stats,
     "frontier_integrity": frontier_integrity,

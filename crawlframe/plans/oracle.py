@@ -170,6 +170,38 @@ c AS (SELECT url AS target_uri, authority, path, coalesce('?' || query, '') AS q
              html || chr(10) FROM p)"""
 )
 
+def scored(base: str, hops: str, path: str, query: str, crowd: str) -> str:
+    elements = f"len(list_filter(string_split({path}, '/'), lambda e: e <> ''))"
+    parameters = f"len(list_filter(string_split(coalesce({query}, ''), '&'), lambda e: e <> ''))"
+    return f"""{base} / (1::DOUBLE + 1.0::DOUBLE * {hops}) / (1::DOUBLE + 0.1::DOUBLE * {elements})
+        / (1::DOUBLE + 0.3::DOUBLE * {parameters}) / (1::DOUBLE + 0.1::DOUBLE * ({crowd} / 100::DOUBLE))"""
+
+
+GRAPH = (
+    PAGES
+    + r""",
+n AS (SELECT count(*) AS n FROM pages),
+jump AS (SELECT page_id, unnest([2 * page_id + 1, 2 * page_id + 2, page_id * page_id % n]) AS dest FROM p, n),
+l AS (
+    SELECT p.authority || p.path || coalesce('?' || p.query, '') AS src, p.authority AS site, p.scheme,
+        a.authority AS name, a.path AS path, NULL::VARCHAR AS query, a.scheme AS to_scheme FROM a JOIN p USING (page_id)
+    UNION ALL
+    SELECT p.authority || p.path || coalesce('?' || p.query, ''), p.authority, p.scheme, t.authority, t.path, t.query, t.scheme
+    FROM jump JOIN p USING (page_id) JOIN p AS t ON t.page_id = jump.dest),
+k AS (SELECT *, name || path || coalesce('?' || query, '') AS dst FROM l
+      WHERE NOT (src = name || path || coalesce('?' || query, '') AND scheme = to_scheme)),
+e AS (SELECT DISTINCT src, dst, site <> name AS crossing FROM k WHERE src <> dst),
+reach(key, h) AS (
+    SELECT authority || path || coalesce('?' || query, ''), 0 FROM p WHERE url = (SELECT min(url) FROM pages)
+    UNION
+    SELECT e.dst, h + crossing::INT FROM reach JOIN e ON e.src = reach.key WHERE h + crossing::INT <= 3),
+hop AS (SELECT key, min(h) AS hops FROM reach GROUP BY key),
+crowd AS (SELECT src, count(*) AS crowd FROM k GROUP BY src),
+u AS (SELECT dst AS key, name, path, query, min(crowd) AS crowd FROM k JOIN crowd USING (src) GROUP BY ALL),
+told AS (SELECT authority || path || coalesce('?' || query, '') AS key,
+        max(least(greatest(((page_id % 13) / 10)::DOUBLE, 0.01::DOUBLE), 1::DOUBLE)) AS base FROM p GROUP BY 1)"""
+)
+
 ORACLE: dict[str, str] = {
     "link_summary": f"WITH {PAGES} SELECT authority AS domain, CAST(count(*) AS BIGINT) AS n_links,"
     " CAST(count(DISTINCT url) AS BIGINT) AS n_targets FROM a GROUP BY authority",
@@ -215,6 +247,15 @@ ORACLE: dict[str, str] = {
         w0 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, query NULLS FIRST) - 10 AS rank FROM batch),
         w AS (SELECT *, count(*) OVER (PARTITION BY name) - rank + 1 AS turn FROM w0 WHERE rank BETWEEN 1 AND 10)
         SELECT name, path, query, CAST(rank AS INTEGER) AS rank, CAST(turn AS INTEGER) AS turn FROM w""",
+    "url_priority": f"""WITH RECURSIVE {GRAPH} SELECT name, path, query, hops,
+        {scored("coalesce(base, 0.5::DOUBLE)", "coalesce(hops, 4)", "path", "query", "crowd")} AS priority
+        FROM u LEFT JOIN hop USING (key) LEFT JOIN told USING (key)""",
+    "next_by_priority": f"""WITH {KNOWN},
+        v AS (SELECT *, ({scored("1::DOUBLE", "0", "path", "query", "length(path)")})::FLOAT AS crawl_priority
+              FROM fresh WHERE length(path) % 7 <> 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY crawl_priority DESC, path, query NULLS FIRST) AS rank FROM v)
+        SELECT name, path, query, crawl_priority, CAST(rank AS INTEGER) AS rank,
+            row_number() OVER (ORDER BY rank, crawl_priority DESC, name) AS position FROM r WHERE rank <= 5""",
     "robots_access": f"WITH {PAGES}{ROBOTS} SELECT authority, access FROM r",
     "robots_rules": f"WITH {PAGES}{ROBOTS} SELECT authority, rx, len, allow FROM r, rule WHERE access = 'Ok'",
     "robots_gate": f"WITH {PAGES}{ROBOTS}, t AS (SELECT DISTINCT authority, path AS pq, url FROM a)"
