@@ -21,6 +21,9 @@ DEVIATING = r"[\u00DF\u03C2\u200C\u200D]"
 PUNY_BASE, PUNY_LOW, PUNY_HIGH, PUNY_SKEW, PUNY_DAMP = 36, 1, 26, 38, 700
 PUNY_BIAS, PUNY_FIRST = 72, 128
 
+# Fixed value: a link must be shorter than this, as sitemaps have it.
+URL_LIMIT = 2048
+
 BLANK = r"[\x00-\x20]"
 OUTER_BLANK = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import html
 from crawlframe.functions.sql import text
+from crawlframe.functions.urls import URL_LIMIT
 from crawlframe.operators.urls import parse_urls
 
 
@@ -43,7 +44,7 @@ def resolved(
     """All anchors with their joined URL ``u`` and the ``reason`` to drop one, if any.
 
     Reasons: ``not_http``, ``unparsable``, ``idn_host``, ``self_link``,
-    ``host_not_allowed``. The fragment of the page URL is not part of the
+    ``too_long``, ``host_not_allowed``. The fragment of the page URL is not part of the
     self-link test.
     """
     based = parse_urls(pages.withColumnRenamed("url", "base_url"), "base_url", out="base")
@@ -60,6 +61,7 @@ def resolved(
             WHEN u.error = 'idn_host' THEN 'idn_host'
             WHEN u.error IS NOT NULL THEN 'unparsable'
             WHEN u.url = base.url THEN 'self_link'
+            WHEN length(u.url) >= {URL_LIMIT} THEN 'too_long'
             WHEN {outside} THEN 'host_not_allowed' END"""
         ),
     )

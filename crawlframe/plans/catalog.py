@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe import schemas
-from crawlframe.operators import archive, dispatch, frontier, links, politeness, priority, robots, sitemaps, urls
+from crawlframe.operators import archive, dispatch, feeds, frontier, links, politeness, priority, resources, robots
+from crawlframe.operators import sitemaps, urls
 from crawlframe.operators.urls import parse_urls
 from crawlframe.plans import fixtures as X
 from crawlframe.plans.crawl_round import Round, crawl_round
@@ -307,6 +308,41 @@ def idn_links(spark: SparkSession, sf: str) -> DataFrame:
     return links.resolved(pages).selectExpr("page_id", "pos", "u.url AS url", "u.domain AS domain", "reason")
 
 
+def resource_links(spark: SparkSession, sf: str) -> DataFrame:
+    """All references of all pages, each with an image set, a script, a sheet and a feed more at its end."""
+    more = """<img src="/i.png" srcset="/i.png 1x, /j,2.png 2x"><script src="/s.js">"<img src=n>"</script>
+        <style>@import "/t.css"; p { background: url( '/b.png' ) }</style>
+        <link rel="alternate" type="application/rss+xml" href="/feed?a&amp;b"><img src="data:,x">"""
+    pages = X.pages(spark, sf).withColumn("html", F.concat("html", F.lit(more)))
+    return resources.resource_links(pages).selectExpr("page_id", "context", "href", "u.url AS url", "reason")
+
+
+def feed_links(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.feed_links(X.feeds(spark, sf))
+
+
+def long_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of 2,047 and of 2,048 characters on every page."""
+    start = "length(concat(u.scheme, '://', u.authority, '/'))"
+    tags = [f"'<a href=\"/', repeat('x', {n} - {start}), '\">l</a>'" for n in (2047, 2048)]
+    pages = parse_urls(X.pages(spark, sf), "url").selectExpr("page_id", "url", f"concat({', '.join(tags)}) AS html")
+    return links.resolved(pages).selectExpr("page_id", "pos", "length(u.url) AS n_chars", "reason")
+
+
+def sitemap_fields(spark: SparkSession, sf: str) -> DataFrame:
+    fields = sitemaps.sitemap_fields(X.dated_sitemaps(spark, sf).select("body"))
+    return fields.selectExpr(
+        "context", "loc", "unix_micros(changed_from) AS from_us", "unix_micros(changed_to) AS to_us", "priority"
+    )
+
+
+def recrawl_due(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sitemaps say is due when the pages on plain http were fetched on 1 January."""
+    fields = sitemaps.sitemap_fields(X.dated_sitemaps(spark, sf).filter("url NOT LIKE '%main.xml'").select("body"))
+    fetched = X.fetches(spark, sf).filter("url LIKE 'http:%'").select("url", "start")
+    return sitemaps.recrawl_due(fields, fetched, ROUND_TIME)
+
+
 def _round_fetches(spark: SparkSession, sf: str) -> DataFrame:
     """Pages, the main page of each site and the sitemap files, all in one round."""
     columns = ["page_id", "url", "body", "context"]
@@ -503,6 +539,11 @@ QUERIES: dict[str, Query] = {
     "archive_by_table": archive_by_table,
     "archive_below_path": archive_below_path,
     "idn_links": idn_links,
+    "resource_links": resource_links,
+    "feed_links": feed_links,
+    "long_links": long_links,
+    "sitemap_fields": sitemap_fields,
+    "recrawl_due": recrawl_due,
     "crawl_round": crawl_round_query,
     "round_rejects": round_rejects,
     "round_retries": round_retries,

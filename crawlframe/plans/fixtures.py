@@ -67,15 +67,17 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+def sitemaps(spark: SparkSession, sf: str, declared: str = "''") -> DataFrame:
     """Sitemap files that list every page of a site, at most a thousand per file.
 
-    Sites with a declared sitemap also get an index file.
+    Sites with a declared sitemap also get an index file. ``declared`` is SQL for
+    more fields of a page's entry.
     """
     listed = sites(spark, sf).selectExpr(
         "authority",
         f"page_id DIV {URLS_PER_SITEMAP} AS part",
-        "struct(page_id, concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>') AS x) AS e",
+        "struct(page_id, concat('<url><loc>', replace(url, '&', '&amp;'), '</loc>',"
+        f" {declared}, '</url>') AS x) AS e",
     )
     files = (
         listed.groupBy("authority", "part")
@@ -135,3 +137,34 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 def known_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The pages of an earlier round: those fetched over plain http."""
     return pages(spark, sf).filter("url LIKE 'http:%'")
+
+
+# A page's declared change: a year, a month, a day, a time, one beside Greenwich, and no date at all.
+DECLARED = """concat('<lastmod>', element_at(array('2023', '2024-01', '2024-01-01', '2024-01-01T00:20Z',
+    '2024-01-01T02:20:30.5+02:00', 'yesterday', '2031-05'), cast(page_id % 7 + 1 AS int)), '</lastmod><priority>',
+    page_id % 13 DIV 10, '.', page_id % 13 % 10, '</priority>')"""
+
+
+def dated_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Sitemaps whose entries say when a page changed and how important it is."""
+    return sitemaps(spark, sf, DECLARED)
+
+
+def feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed per site that lists all its pages: RSS where the site's name has an even length, else Atom.
+
+    Atom entries name their pages relative to the entry's base.
+    """
+    listed = parse_urls(pages(spark, sf).select("page_id", "url"), "url").filter("u.error IS NULL").selectExpr(
+        "u.authority AS authority",
+        """struct(page_id, CASE WHEN length(u.authority) % 2 = 0
+            THEN concat('<item><title>t</title><link> ', replace(url, '&', '&amp;'), ' </link></item>')
+            ELSE concat('<entry xml:base="', u.scheme, '://', u.authority, '/x/"><link rel="self" href="/self"/><link href="..',
+                u.path, replace(coalesce(concat('?', u.query), ''), '&', '&amp;'), '"/></entry>') END AS x) AS e""",
+    )
+    return listed.groupBy("authority").agg(F.sort_array(F.collect_list("e")).alias("es")).selectExpr(
+        "concat('https://', authority, '/feed') AS url",
+        """CASE WHEN length(authority) % 2 = 0
+            THEN concat('<rss version="2.0"><channel>', array_join(transform(es, e -> e.x), ''), '</channel></rss>')
+            ELSE concat('<feed xmlns="http://www.w3.org/2005/Atom">', array_join(transform(es, e -> e.x), ''), '</feed>') END AS body""",
+    )

@@ -202,6 +202,16 @@ told AS (SELECT authority || path || coalesce('?' || query, '') AS key,
         max(least(greatest(((page_id % 13) / 10)::DOUBLE, 0.01::DOUBLE), 1::DOUBLE)) AS base FROM p GROUP BY 1)"""
 )
 
+DATED = (
+    PAGES
+    + r""",
+f(k, from_s, to_s) AS (VALUES (0, 1672531200.0, 1704067200.0), (1, 1704067200.0, 1706745600.0), (2, 1704067200.0, 1704153600.0),
+    (3, 1704068400.0, 1704068400.0), (4, 1704068430.5, 1704068430.5), (5, NULL, NULL), (6, 1935360000.0, 1938038400.0)),
+dated AS (SELECT p.*, CAST(from_s * 1000000 AS BIGINT) AS from_us, CAST(to_s * 1000000 AS BIGINT) AS to_us,
+        least(greatest(((page_id % 13) / 10)::DOUBLE, 0.01::DOUBLE), 1::DOUBLE) AS priority
+      FROM p JOIN f ON k = page_id % 7)"""
+)
+
 ORACLE: dict[str, str] = {
     "link_summary": f"WITH {PAGES} SELECT authority AS domain, CAST(count(*) AS BIGINT) AS n_links,"
     " CAST(count(DISTINCT url) AS BIGINT) AS n_targets FROM a GROUP BY authority",
@@ -256,6 +266,25 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY crawl_priority DESC, path, query NULLS FIRST) AS rank FROM v)
         SELECT name, path, query, crawl_priority, CAST(rank AS INTEGER) AS rank,
             row_number() OVER (ORDER BY rank, crawl_priority DESC, name) AS position FROM r WHERE rank <= 5""",
+    "resource_links": f"""WITH {PAGES},
+        more(context, href, path, reason) AS (VALUES ('Img', '/i.png', '/i.png', NULL), ('Img', '/i.png', '/i.png', NULL),
+            ('Img', '/j,2.png', '/j,2.png', NULL), ('Script', '/s.js', '/s.js', NULL), ('Style', '/t.css', '/t.css', NULL),
+            ('Img', '/b.png', '/b.png', NULL), ('Feed', '/feed?a&b', '/feed?a&b', NULL), ('Img', 'data:,x', NULL, 'not_http'))
+        SELECT page_id, context, href, scheme || '://' || authority || more.path AS url, reason FROM p, more""",
+    "feed_links": f"""WITH {PAGES} SELECT 'https://' || authority || '/feed' AS url,
+        CAST(row_number() OVER (PARTITION BY authority ORDER BY page_id) - 1 AS INTEGER) AS pos,
+        scheme || '://' || authority || path || coalesce('?' || query, '') AS link FROM p""",
+    "long_links": f"""WITH {PAGES} SELECT page_id, 0 AS pos, 2047 AS n_chars, NULL AS reason FROM p
+        UNION ALL SELECT page_id, 1, 2048, 'too_long' FROM p""",
+    "sitemap_fields": f"""WITH {DATED} SELECT 'SitemapLink' AS context, url AS loc, from_us, to_us, priority FROM dated
+        UNION ALL SELECT DISTINCT 'Sitemap', 'https://' || authority || '/sitemap_0.xml', NULL::BIGINT, NULL::BIGINT, 0.5::DOUBLE
+        FROM p WHERE length(authority) % 5 = 2""",
+    "recrawl_due": f"""WITH {DATED},
+        e AS (SELECT scheme || '://' || authority || path || coalesce('?' || query, '') AS url, max(priority) AS priority,
+                max(CASE WHEN from_us <= 1709251200000000 THEN least(to_us, 1709251200000000) END) AS changed,
+                max(CASE WHEN scheme = 'http' THEN (1704067200 + page_id) * 1000000 END) AS last FROM dated GROUP BY 1),
+        r AS (SELECT url, CASE WHEN last IS NULL THEN 'new' WHEN last < changed THEN 'changed' END AS reason, priority FROM e)
+        SELECT * FROM r WHERE reason IS NOT NULL""",
     "robots_access": f"WITH {PAGES}{ROBOTS} SELECT authority, access FROM r",
     "robots_rules": f"WITH {PAGES}{ROBOTS} SELECT authority, rx, len, allow FROM r, rule WHERE access = 'Ok'",
     "robots_gate": f"WITH {PAGES}{ROBOTS}, t AS (SELECT DISTINCT authority, path AS pq, url FROM a)"
