@@ -8,7 +8,7 @@ the batch operator says, also when a success between two failures comes last.
 
 After a failure the site is due again in ``RETRY_SECONDS``, unless it was fetched
 once more until then. An event-time timer decides that when the watermark has
-passed the due time, so a fetch that arrives late, within the lateness allowed,
+passed the due time (one timer per site, for its next one), so a fetch that arrives late, within the lateness allowed,
 still cancels the retry, and each retry is emitted once.
 """
 
@@ -45,7 +45,7 @@ class RobotsState(StatefulProcessor):
 
     The summary holds the latest point folded into it, the last that was no
     failure, and the first failure after that. Failures are folded when their
-    timer has fired; other points once no failure that is still open, or may
+    have come due; other points once no failure that is still open, or may
     still arrive, can need them. So an authority holds the fetches of about the
     retry delay plus the allowed lateness.
     """
@@ -67,15 +67,23 @@ class RobotsState(StatefulProcessor):
         if summary:
             self.summary.update(summary)
 
+    def _wake_for(self, points: list[Point]) -> None:
+        """One timer per authority: for the failure that comes due next."""
+        wanted = min((due_ms(p) for p in points if p[2] == DOWN), default=None)
+        for timer in self.handle.listTimers():
+            if timer == wanted:
+                wanted = None
+            else:
+                self.handle.deleteTimer(timer)
+        if wanted is not None:
+            self.handle.registerTimer(wanted)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         points, summary = self._load()
         known = set(points)
         for batch in rows:
             fresh = batch[["start_us", "event_id", "access"]].itertuples(index=False, name=None)
-            for point in {(int(a), int(e), x) for a, e, x in fresh} - known:
-                known.add(point)
-                if point[2] == DOWN:
-                    self.handle.registerTimer(due_ms(point))
+            known |= {(int(a), int(e), x) for a, e, x in fresh}
         points = sorted(known)
         open_until = min((p[0] for p in points if p[2] == DOWN), default=None)
         limit = timerValues.getCurrentWatermarkInMs() * 1000 - RETRY_US
@@ -84,6 +92,7 @@ class RobotsState(StatefulProcessor):
         old = [p for p in points if p[0] < limit]
         points, summary = points[len(old) :], folded(summary, old)
         self._store(points, summary)
+        self._wake_for(points)
         access, updated, first = state_of(points, summary)
         yield pd.DataFrame(
             {
@@ -93,22 +102,26 @@ class RobotsState(StatefulProcessor):
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fired = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         points, summary = self._load()
-        over = [p for p in points if p[2] == DOWN and due_ms(p) <= fired]
+        due, cut = [], 0
         for at, point in enumerate(points):
-            due = point[0] + RETRY_US
-            follower = points[at + 1] if at + 1 < len(points) else None
-            if point in over and (follower is None or follower[0] > due):
-                yield pd.DataFrame(
-                    {
-                        "authority": [key[0]], "kind": ["retry"], "access": [DOWN], "updated_us": [point[0]],
-                        "first_tried_us": pd.array([None], "Int64"), "due_us": pd.array([due], "Int64"),
-                    }
-                )
-        if over:
-            cut = points.index(over[-1]) + 1
-            self._store(points[cut:], folded(summary, points[:cut]))
+            if point[2] != DOWN or due_ms(point) > passed:
+                continue
+            cut = at + 1
+            if cut == len(points) or points[cut][0] > point[0] + RETRY_US:
+                due.append(point[0])
+        points, summary = points[cut:], folded(summary, points[:cut])
+        self._store(points, summary)
+        self._wake_for(points)
+        if due:
+            yield pd.DataFrame(
+                {
+                    "authority": key[0], "kind": "retry", "access": DOWN, "updated_us": due,
+                    "first_tried_us": pd.array([None] * len(due), "Int64"),
+                    "due_us": pd.array([d + RETRY_US for d in due], "Int64"),
+                }
+            )
 
     def close(self) -> None:
         pass
