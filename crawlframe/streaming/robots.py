@@ -34,6 +34,9 @@ EVENT = (
 STATE = "authority string, access string, updated timestamp, first_tried timestamp"
 RETRY = "authority string, failed timestamp, due timestamp"
 
+# A micro-batch then stores what it changed, not the whole store of each partition.
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
 RETRY_US = R.RETRY_SECONDS * 1_000_000
 DOWN = "Unreachable"
 
@@ -188,12 +191,18 @@ def start(
         .trigger(**(trigger or {"availableNow": True}))
     )
     conf = log.sparkSession.conf
-    before = conf.get(PROVIDER)
-    conf.set(PROVIDER, ROCKSDB)
+    settings = {PROVIDER: ROCKSDB, CHANGELOG: "true"}
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)
     try:
         return writer.start()
     finally:
-        conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
 
 
 def _read(spark: SparkSession, root: str, kind: str) -> DataFrame:
