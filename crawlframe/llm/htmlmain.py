@@ -31,6 +31,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Fixed values of the HTML standard: elements without an end tag, and those whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MUTE = frozenset("script style noscript template svg math head title select option button textarea iframe object canvas".split())
+# Fixed values of the HTML standard: what a head holds, and how comments end.
+HEAD_PARTS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+COMMENT_END = re.compile(r"--!?>")
+SHORT_COMMENT = re.compile(r"<!--(?:-?>)")
 # Formatting elements stand for no part of the page unless they carry a class or an id.
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
@@ -66,7 +70,28 @@ class Page(HTMLParser):
         self.feed(html)
         self.close()
 
+    # Declarations, comments and instructions end where browsers end them; one without an end takes the
+    # rest of the page. None of them is text, and none can stop the parser.
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = SHORT_COMMENT.match(self.rawdata, i) or COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+
+    def _leave_head(self) -> None:
+        """A head without an end tag is over where something stands that no head holds."""
+        if self.open[-1][0] == "head":
+            self._pop_to("head")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_PARTS:
+            self._leave_head()
         if tag in CLOSES_P:
             self._close_p()
         if tag in SIBLINGS:
@@ -100,6 +125,8 @@ class Page(HTMLParser):
             self.block += 1
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._leave_head()
         if not self.mute and data:
             self.segments.append((self.open[-1][1], data, self.block, self.links > 0))
 
@@ -389,13 +416,11 @@ class Training:
 
 def train(pages: DataFrame, html: str = "html", settings: Training = Training()) -> Boosted:
     """Fit the trees on a bounded sample; the same table gives the same trees."""
-    rows = (
-        pages.filter(F.col(html).isNotNull())
-        .select(F.col(html).alias("h"), F.xxhash64(html).alias("o"))
-        .orderBy("o", "h")
-        .limit(settings.pages)
-        .collect()
-    )
+    # First the hashes alone, then the pages they name: what reaches the driver does not grow with the
+    # table, however many rows and partitions there are and however often a page repeats.
+    hashed = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("h"), F.xxhash64(html).alias("o"))
+    chosen = [r.o for r in hashed.select("o").distinct().orderBy("o").limit(settings.pages).collect()]
+    rows = hashed.filter(F.col("o").isin(chosen)).groupBy("o").agg(F.min("h").alias("h")).orderBy("o").collect()
     xs, ys, texts = [], [], []
     for row in rows:
         page = Page(row["h"])
@@ -420,14 +445,29 @@ def extract(html: list[str | None], model: Boosted) -> list[str]:
             out.append("")
             continue
         size = len(page.tags)
-        out.append(text_of(page, decode(page.parents, odds[at : at + size])))
+        chosen = decode(page.parents, odds[at : at + size])
+        out.append(text_of(page, chosen) or text_of(page, outside_of_parts(page)))
         at += size
     return out
 
 
+def outside_of_parts(page: Page) -> np.ndarray:
+    """For a page of which the trees choose nothing: all nodes but the parts that say they are no text."""
+    keep = np.ones(len(page.tags), bool)
+    for k in range(1, len(page.tags)):
+        aside = page.tags[k] in ("nav", "header", "footer", "aside", "form") or any(t in BAD for t in page.tokens[k])
+        keep[k] = keep[page.parents[k]] and not aside
+    return keep
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", model: Boosted | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) per row; null or empty html gives an empty text.
 
+    Any text is a page: broken declarations, comments and heads without an end
+    cost no more than themselves. A page of which the trees choose nothing gives
+    its text outside of menus, headers, footers, sidebars and forms. Pages are
+    taken whole, of any length.
+
     Repeated rows are extracted one by one; other columns are ignored.
     """
     model = model or train(pages, html)
