@@ -12,7 +12,8 @@ shards whose range it meets, and of these only the members that it matches; the
 others are never inflated. Archives sorted by key (:func:`write_sorted`) make
 those ranges narrow.
 
-Write options: ``shard_bytes`` (a shard closes once more than this many
+Columns: ``record`` holds a record's bytes; ``member`` and ``plain`` instead hold
+its gzip member and its plain size. Write options: ``shard_bytes`` (a shard closes once more than this many
 uncompressed bytes are in it, default 1 MiB), ``level`` (gzip level, default 9).
 Read options: ``payload`` (``false`` leaves ``http`` NULL), ``split_bytes``
 (compressed bytes per read task, default 64 MiB), ``index`` (``true`` gives the
@@ -72,7 +73,7 @@ class WarcDataSource(DataSource):
         return self.options.get("index", "false").lower() == "true"
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        if "record" not in schema.fieldNames():
+        if not {"record", "member"} & set(schema.fieldNames()):
             raise ValueError("the warc writer needs a binary column named record")
         return WarcWriter(self.options, overwrite)
 
@@ -89,11 +90,10 @@ class _Shard:
         self.plain = self.packed = 0
         self.entries: list[tuple[str | None, int, int]] = []
 
-    def add(self, record: bytes, key: str | None, level: int) -> None:
-        data = _member(record, level)
+    def add(self, data: bytes, plain: int, key: str | None) -> None:
         self.out.write(data)
         self.entries.append((key, self.packed, len(data)))
-        self.plain += len(record)
+        self.plain += plain
         self.packed += len(data)
 
     def close(self, indexed: bool) -> manifests.File:
@@ -131,11 +131,11 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             indexed = "key" in batch.schema.names
             keys = batch.column("key").to_pylist() if indexed else [None] * batch.num_rows
-            for value, key in zip(batch.column("record"), keys):
+            for (data, plain), key in zip(self._members(batch), keys):
                 if shard is None:
                     name = f"archive_{self.job}_{task.partitionId():05d}_{task.taskAttemptId()}_{len(done):03d}{SUFFIX}"
                     shard = _Shard(files, posixpath.join(root, name))
-                shard.add(value.as_py() or b"", key, self.level)
+                shard.add(data, plain, key)
                 if shard.plain > self.limit:
                     done.append(shard.close(indexed))
                     shard = None
@@ -143,6 +143,15 @@ class WarcWriter(DataSourceArrowWriter):
             done.append(shard.close(indexed))
         return manifests.finish_task(files, root, self.job, f"{task.partitionId():05d}_{task.taskAttemptId()}", done)
 
+    def _members(self, batch: pa.RecordBatch) -> Iterator[tuple[bytes, int]]:
+        """Gzip members with their plain sizes, from records or packed before."""
+        if "member" in batch.schema.names:
+            yield from zip((m.as_py() for m in batch.column("member")), batch.column("plain").to_pylist())
+        else:
+            for value in batch.column("record"):
+                record = value.as_py() or b""
+                yield _member(record, self.level), len(record)
+
     def commit(self, messages: list[manifests.Task | None]) -> None:
         manifests.commit(self.path, self.job, messages, self.overwrite)
 
@@ -317,16 +326,33 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def packed(records: DataFrame, level: int = 9) -> DataFrame:
+    """Records as gzip members (``member``, ``plain`` bytes) beside their other columns."""
+    rest = [c for c in records.columns if c != "record"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [v.as_py() or b"" for v in batch.column("record")]
+            members = pa.array([_member(v, level) for v in values], pa.binary())
+            plain = pa.array([len(v) for v in values], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), members, plain], names=[*rest, "member", "plain"])
+
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in records.select(*rest).dtypes)
+    return records.select(*rest, "record").mapInArrow(pack, f"{schema}, member binary, plain bigint")
+
+
 def write_sorted(records: DataFrame, path: str, mode: str = "append", **options: object) -> None:
     """Write records with a ``key`` in the order of their keys, so that a key lies in few shards.
 
-    Range partitions also split by date and record, so a key with very many
-    records is spread over tasks.
+    Records are compressed where they are made; what moves is what the archive
+    will hold. Range partitions also split by date and record, so a key with
+    very many records is spread over tasks.
     """
     register(records.sparkSession)
     order = [c for c in ("key", "warc_date", "record_id") if c in records.columns]
-    placed = records.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.select("key", "record").write.format("warc").mode(mode).options(**options).save(path)
+    members = packed(records.select(*order, "record"), int(options.get("level", 9)))
+    placed = members.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select("key", "member", "plain").write.format("warc").mode(mode).options(**options).save(path)
 
 
 def fetch_members(entries: DataFrame, path: str, payload: bool = True) -> DataFrame:
