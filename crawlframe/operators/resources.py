@@ -96,6 +96,12 @@ def _items(tag: str) -> str:
     return f"transform(array({struct}), t -> concat({own}, {style}))[0]"
 
 
+def tags_of(document: str) -> str:
+    """The tags of interest of a page with their attributes, in document order."""
+    bare = f"regexp_replace({document}, {text(TEXTS)}, '$1$2$4')"
+    return f"filter(regexp_extract_all({bare}, {text(TOKEN)}, 1), t -> t <> '')"
+
+
 def resources(pages: DataFrame) -> DataFrame:
     """One row per reference (pos, context, href, rel) in document order; ``html`` ends here.
 
@@ -104,8 +110,7 @@ def resources(pages: DataFrame) -> DataFrame:
     links of a feed's media type).
     """
     rest = [f"`{c}`" for c in pages.columns if c != "html"]
-    bare = f"regexp_replace(html, {text(TEXTS)}, '$1$2$4')"
-    tags = f"filter(regexp_extract_all({bare}, {text(TOKEN)}, 1), t -> t <> '')"
+    tags = tags_of("html")
     tagged = pages.selectExpr(*rest, f"posexplode({tags}) AS (_at, _tag)")
     items = tagged.selectExpr(*rest, "_at", f"posexplode({_items('_tag')}) AS (_k, _i)")
     return items.selectExpr(*rest, "_at", "_k", "_i.context AS context", "_i.href AS href", "_i.rel AS rel")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe import schemas
-from crawlframe.operators import archive, dispatch, feeds, frontier, links, politeness, priority, resources, robots
+from crawlframe.operators import archive, canonical, dispatch, feeds, frontier, links, politeness, priority, resources, robots
 from crawlframe.operators import sitemaps, urls
 from crawlframe.operators.urls import parse_urls
 from crawlframe.plans import fixtures as X
@@ -321,6 +321,15 @@ def feed_links(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.feed_links(X.feeds(spark, sf))
 
 
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages in tens: the first names none, six more each the one before, the last three one another in a ring."""
+    pages = X.pages(spark, sf)
+    step = "page_id + CASE page_id % 10 WHEN 0 THEN NULL WHEN 7 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN -2 ELSE -1 END"
+    to = pages.selectExpr("page_id AS to", "concat('<link href=\"', replace(url, '&', '&amp;'), '\" rel=\"canonical\">') AS tag")
+    named = pages.withColumn("to", F.expr(step)).join(to, "to", "left").selectExpr("page_id", "url", "concat(coalesce(tag, ''), html) AS html")
+    return canonical.canonical_urls(named)
+
+
 def long_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of 2,047 and of 2,048 characters on every page."""
     start = "length(concat(u.scheme, '://', u.authority, '/'))"
@@ -542,6 +551,7 @@ QUERIES: dict[str, Query] = {
     "resource_links": resource_links,
     "feed_links": feed_links,
     "long_links": long_links,
+    "canonical_urls": canonical_urls,
     "sitemap_fields": sitemap_fields,
     "recrawl_due": recrawl_due,
     "crawl_round": crawl_round_query,

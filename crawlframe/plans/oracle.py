@@ -274,6 +274,18 @@ ORACLE: dict[str, str] = {
     "feed_links": f"""WITH {PAGES} SELECT 'https://' || authority || '/feed' AS url,
         CAST(row_number() OVER (PARTITION BY authority ORDER BY page_id) - 1 AS INTEGER) AS pos,
         scheme || '://' || authority || path || coalesce('?' || query, '') AS link FROM p""",
+    "canonical_urls": f"""WITH RECURSIVE {PAGES},
+        q AS (SELECT page_id, scheme || '://' || authority || path || coalesce('?' || CASE
+                WHEN query IS NULL OR len(list_filter(string_split(query, '&'), lambda x: NOT starts_with(x, 'utm_'))) = 0 THEN NULL
+                ELSE array_to_string(list_filter(string_split(query, '&'), lambda x: NOT starts_with(x, 'utm_')), '&') END, '') AS url,
+                page_id + CASE page_id % 10 WHEN 0 THEN NULL WHEN 7 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN -2 ELSE -1 END AS dest FROM p),
+        named AS (SELECT q.page_id, q.url, t.url AS target FROM q JOIN q AS t ON t.page_id = q.dest WHERE q.url <> t.url),
+        nxt AS (SELECT url AS node, arg_min(target, page_id) AS next FROM named GROUP BY url),
+        walk(node, here, step) AS (SELECT node, next, 1 FROM nxt
+            UNION ALL SELECT walk.node, nxt.next, step + 1 FROM walk JOIN nxt ON nxt.node = walk.here WHERE step < 60),
+        tail AS (SELECT walk.node, coalesce(max(CASE WHEN nxt.node IS NULL THEN here END), min(CASE WHEN step > 30 THEN here END)) AS fin
+                 FROM walk LEFT JOIN nxt ON nxt.node = walk.here GROUP BY walk.node)
+        SELECT page_id, url, coalesce(fin, url) AS canonical FROM q LEFT JOIN tail ON tail.node = q.url""",
     "long_links": f"""WITH {PAGES} SELECT page_id, 0 AS pos, 2047 AS n_chars, NULL AS reason FROM p
         UNION ALL SELECT page_id, 1, 2048, 'too_long' FROM p""",
     "sitemap_fields": f"""WITH {DATED} SELECT 'SitemapLink' AS context, url AS loc, from_us, to_us, priority FROM dated
