@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import lower_words_of
@@ -379,9 +379,27 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     groups = rooted_groups(docs, key, text).filter(F.col("n_shingles") > 0)
     least = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
-    chosen = least.agg(F.min("text_key").alias("text_key")).drop("root")
+    chosen = least.agg(F.min("text_key").alias("text_key"))
     blank = ~F.coalesce(docs[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(~blank).withColumn("_text_key", F.xxhash64(text))
-    one = chosen.toDF("_id", "_chosen")
-    kept = keyed.join(one, keyed[key].eqNullSafe(one["_id"]) & (keyed["_text_key"] == one["_chosen"]), "left_semi")
-    return kept.dropDuplicates([key, "_text_key"]).select(*(kept[c] for c in docs.columns)).union(docs.filter(blank))
+    # Names that no input column has. The join and the choice among repeated rows share one
+    # partitioning, so the texts move once.
+    on = unused(docs.columns, "none", "id", "print")
+
+    def place(of: Column, hashed: Column) -> list[Column]:
+        return [c.alias(n) for c, n in zip((F.isnull(of), F.coalesce(of, F.lit(0)), hashed), on)]
+
+    keyed = docs.filter(~blank).select("*", *place(docs[key].cast("bigint"), F.xxhash64(docs[text])))
+    one = chosen.select(*place(chosen["component_id"], chosen["text_key"]))
+    kept = keyed.join(one, on, "left_semi").dropDuplicates(on)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(blank))
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it."""
+    lower = {t.lower() for t in taken}
+    found = []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        found.append(name)
+    return found
