@@ -171,14 +171,13 @@ def _draw(key: Column) -> Column:
 
 
 def _with_copies(docs: DataFrame, copies: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    keyed = docs.withColumns({"_size": words_in(F.col(text))})
-    small = copies.select(*(F.col(c).alias(f"_c_{c}") for c in copies.columns))
+    """(row, size, source_size, target, copies): each row in one struct, so that none of its columns can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, docs[key].cast("bigint").alias("_id"), docs[source].cast("string").alias("_source"), words_in(docs[text]).alias("_size"))
     same = (
-        keyed[key].cast("bigint").eqNullSafe(small["_c_id"])
-        & keyed[source].cast("string").eqNullSafe(small["_c_source"])
-        & (keyed["_size"] == small["_c_size"])
+        keyed["_id"].eqNullSafe(copies["id"]) & keyed["_source"].eqNullSafe(copies["source"]) & (keyed["_size"] == copies["size"])
     )
-    return keyed.join(small, same)
+    return keyed.join(copies, same).select("row", "size", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -186,11 +185,7 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     copies = written(copies_of(docs, key, text, source), "copies")
     narrow = docs.select(key, source, text)
     return _with_copies(narrow, copies, key, text, source).select(
-        F.col(key),
-        F.col("_size").alias("size"),
-        F.col("_c_source_size").alias("source_size"),
-        F.col("_c_target").alias("target"),
-        (F.col("_size") * F.col("_c_copies")).alias("taken"),
+        F.col(f"row.`{key}`").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
@@ -198,5 +193,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mixed corpus: every row of ``docs`` as often as the mix takes it."""
     copies = written(copies_of(docs, key, text, source), "copies")
     taken = _with_copies(docs, copies.filter("copies > 0"), key, text, source)
-    repeated = taken.select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_c_copies"))).alias("_copy"))
-    return repeated.drop("_copy")
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")
