@@ -22,6 +22,7 @@ that a hit of a piece allows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,36 +65,42 @@ class Settings:
         return int(words * self.edit_share) if words >= self.least_words else 0
 
 
-def embed(windows: np.ndarray, steps: int, seeds: np.ndarray) -> np.ndarray:
-    """CGK embeddings of equally long symbol sequences, one per row with its own seed; 0 pads the end."""
+def embed(windows: np.ndarray, steps: int | np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """CGK embeddings of equally long symbol sequences, one per row with its own seed; 0 pads the end.
+
+    ``steps`` may be one number per row, falling from row to row: then each row
+    is walked only so far, and the rest of it is 0.
+    """
     rows, width = windows.shape
-    at = np.zeros(rows, np.int64)
-    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
-    out = np.empty((rows, steps), np.int64)
-    line = np.arange(rows)
+    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1).astype(np.uint64).ravel()
+    at = np.arange(rows) * (width + 1)
+    ends = at + width
+    each = np.broadcast_to(steps, rows)
+    out = np.zeros((int(each.max(initial=0)), rows), np.uint64)
+    walked = rows - np.searchsorted(each[::-1], np.arange(len(out)), side="right")  # rows that go on
     salt = seeds.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    for step in range(steps):
-        symbol = padded[line, np.minimum(at, width)]
-        out[:, step] = symbol
-        mixed = (symbol.astype(np.uint64) + salt + np.uint64(step * 0x2545F491)) * np.uint64(0x9E3779B97F4A7C15)
+    for step, some in enumerate(walked):
+        symbol = padded.take(at[:some], out=out[step, :some], mode="clip")
+        mixed = symbol + salt[:some]
+        mixed += np.uint64(step * 0x2545F491)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        at += ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-    return out
+        mixed >>= np.uint64(40)
+        mixed &= np.uint64(1)
+        at[:some] += mixed.view(np.int64)
+        if step >= width - 1:
+            np.minimum(at[:some], ends[:some], out=at[:some])
+    return out.T.view(np.int64)
 
 
 def distance(a: list[int], b: list[int], limit: int) -> int | None:
     """Edit distance if it is at most ``limit``."""
-    if abs(len(a) - len(b)) > limit:
-        return None
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > limit:
-            return None
-    return row[-1] if row[-1] <= limit else None
+    longest = max(len(a), len(b))
+    if abs(len(a) - len(b)) > limit or longest - (Counter(a) & Counter(b)).total() > limit:
+        return None  # every word without a partner costs an edit
+    edits = whole_distance(a, b)
+    return edits if edits <= limit else None
 
 
 def whole_distance(a: list[int], b: list[int]) -> int:
@@ -175,13 +182,14 @@ class Index:
 
     def keys(self, windows: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The LSH keys of every window, one per table, window by window."""
-        count = len(places)
-        rows = np.repeat(windows, count, axis=0)
+        count, last = len(places), places.max(axis=1) + 1
+        order = np.argsort(-last, kind="stable")  # each table is walked as far as it samples
+        walks = embed(np.tile(windows, (count, 1)), np.repeat(last[order], len(windows)), np.repeat(order, len(windows)) + self.settings.seed)
+        row = (np.argsort(order)[None] * len(windows) + np.arange(len(windows))[:, None]).ravel()
         table = np.tile(np.arange(count), len(windows))
-        out = embed(rows, int(places.max()) + 1, table + self.settings.seed)
         code = table.astype(np.uint64)
         for k in range(places.shape[1]):
-            sampled = out[np.arange(len(rows)), places[table, k]]
+            sampled = walks[row, places[table, k]]
             code = (code + sampled.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(29)
         return code

@@ -344,6 +344,18 @@ def test_sharding_places_every_row(spark, docs, none):
     assert maglev.assign(none, table, "doc_id", slots).count() == 0
 
 
+def test_walks_of_several_lengths_and_distances_within_a_limit():
+    rng = np.random.default_rng(5)
+    windows, seeds = rng.integers(0, 6, (40, 17)), np.arange(40)
+    steps = np.sort(rng.integers(0, 60, 40))[::-1]
+    whole, some = decontaminate.embed(windows, 60, seeds), decontaminate.embed(windows, steps, seeds)
+    assert np.array_equal(some, np.where(np.arange(int(steps.max())) < steps[:, None], whole[:, : int(steps.max())], 0))
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, rng.integers(0, 12)).tolist() for _ in range(2))
+        edits = decontaminate.whole_distance(a, b)
+        assert [decontaminate.distance(a, b, k) for k in range(13)] == [edits if edits <= k else None for k in range(13)]
+
+
 @pytest.mark.parametrize("chunk_bytes", [500, 12 << 20])
 def test_suffix_tree_base_scores(spark, docs, chunk_bytes):
     rows = suffix_tree.scored(docs, settings=suffix_tree.Settings(chunk_bytes=chunk_bytes)).collect()
