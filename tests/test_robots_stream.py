@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from crawlframe.operators.robots import run_heads
@@ -98,3 +99,36 @@ def test_retries_come_due_once(spark):
     root = follow(spark, batches, "12 hours")
     got = sorted(tuple(r) for r in S.due_retries(spark, root).collect())
     assert got == [("quiet", at(0), at(0) + retry), ("quiet", at(2.5), at(2.5) + retry)]
+
+
+def frame(points):
+    return pd.DataFrame(points, columns=["start_us", "event_id", "access"])
+
+
+def test_a_busy_site_holds_few_points():
+    """Before, every fetch within the lateness was held and loaded again for each batch."""
+    held = S.Fetches()
+    log = [(k * 1_000_000, k, "Unreachable" if k % 5 == 0 else "Ok") for k in range(50_000)]
+    for part in range(0, len(log), 10_000):
+        held.add(frame(log[part : part + 10_000][::-1]))
+    assert held.spans == [(0, log[-1], False)] and held.ok == log[-1] and not held.failures
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_what_is_held_equals_all_points(seed):
+    rng = random.Random(seed)
+    step = S.RETRY_US // 4
+    log = [(rng.randrange(60) * step, rng.randrange(9), rng.choice(["Ok", "Unreachable", "Unreachable"])) for _ in range(25)]
+    held, seen, told = S.Fetches(), set(), []
+    for part in range(0, len(log), 5):
+        held.add(frame(log[part : part + 5]))
+        seen |= set(log[part : part + 5])
+        points = sorted(seen)
+        ok = max((p for p in points if p[2] != S.DOWN), default=(-1,))
+        first = min((p[0] for p in points if p > ok), default=None)
+        assert held.state() == (points[-1][2], points[-1][0], first)
+    for now in range(0, 70 * step, step):
+        told += held.due(now // 1000)
+        held.forget(0)
+    follow_on = zip(points, points[1:] + [(10**15, 0, "")])
+    assert told == [p[0] for p, q in follow_on if p[2] == S.DOWN and q[0] > p[0] + S.RETRY_US and S.due_ms(p) <= 69 * step // 1000]
