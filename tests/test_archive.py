@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import glob
+import gzip
 import os
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,17 @@ def test_large_tasks_are_read_in_slices(tmp_path):
     names = [entry.name for part in parts for _, _, entry in manifests.files_of(str(tmp_path), part)]
     assert len(parts) == 4 and sorted(names) == sorted(f.name for f in done)
     assert manifests.plan(str(tmp_path), 20, ".gz", lambda t: t.low > "k9") == [manifests.Part([], [])]
+
+
+def test_packing_works_on_few_bytes_at_a_time():
+    """Before, a batch of any size came out as one, with all its records held twice."""
+    sizes = [3, None, 5_000_000, 5_000_000, 9_000_000, 0, 7]
+    records = [None if n is None else bytes(n) for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"k{k}" for k in range(7)]), pa.array(records, pa.binary())], names=["key", "record"])
+    got = list(warc.pack_batch(batch.slice(0, 7), 1))
+    assert [b.num_rows for b in got] == [4, 1, 2] and all(b.schema.names == ["key", "member", "plain"] for b in got)
+    rows = [row for b in got for row in b.to_pylist()]
+    assert [(r["key"], r["plain"], gzip.decompress(r["member"])) for r in rows] == [
+        (f"k{k}", n or 0, bytes(n or 0)) for k, n in enumerate(sizes)
+    ]
+    assert [b.num_rows for b in warc.pack_batch(batch.slice(2, 3), 1)] == [2, 1] and not list(warc.pack_batch(batch.slice(0, 0), 1))
