@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import lower_words_of
+from crawlframe.llm.common import lower_words_of, values
 
 BLOCK = 8  # word pairs
 WINDOWS = 256  # embedded at a time
@@ -284,7 +284,7 @@ def contamination(text: Column, index: Index) -> Column:
         kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("item_id", "first_word", "n_words", "edits")]))
         for texts in batches:
             rows = []
-            for one in texts.to_pylist():
+            for one in values(texts):
                 words = lower_words_of(one)
                 coded = np.fromiter((code(w, 0) for w in words), np.int64, len(words))
                 rows.append(

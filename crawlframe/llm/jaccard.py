@@ -24,15 +24,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import lower_words_of
+from crawlframe.llm.common import ARROW_BYTES, BATCH_BYTES, lower_words_of, values
 from crawlframe.llm.graph import components
-from crawlframe.session import written
+from crawlframe.session import settings, written
 
 WIDTH = 5  # words in a shingle
 HOT_TOKENS = 1 << 18  # bound of the list of frequent tokens: 4 MB
 LEAST_HOT = 8  # a token in fewer sets is not listed
 BLOCK = 64  # sets in one block of an index list
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
+HELD_TOKENS = 6_000_000  # of which a task looks for repeated ones at a time: 48 MB
+SENT_TOKENS = 1 << 16  # rows in one batch of them
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(32)
@@ -69,9 +71,15 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    for batch in batches:
-        yield batch.column(0).to_pylist()
+def repeated_tokens(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the tokens that stand in ``held`` twice or more; sorts it in place."""
+    held.sort()
+    same = held[1:] == held[:-1]
+    first = np.flatnonzero(same & ~np.r_[False, same[:-1]])
+    last = np.flatnonzero(same & ~np.r_[same[1:], False])
+    for at in range(0, len(first), SENT_TOKENS):
+        low, high = first[at : at + SENT_TOKENS], last[at : at + SENT_TOKENS]
+        yield pa.RecordBatch.from_arrays([pa.array(held[low]), pa.array(high - low + 2)], ["token", "n"])
 
 
 def frequent_tokens(docs: DataFrame, text: str, most: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,27 +91,23 @@ def frequent_tokens(docs: DataFrame, text: str, most: int = HOT_TOKENS) -> tuple
     """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, seen = WordHashes(), [], set()
-        size = 0
-
-        def merged() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            found, counts = found[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["token", "n"])
-
-        for texts in _texts(batches):
-            for one in texts:
+        hashes, seen = WordHashes(), set()
+        # Sets lie in one array, whose pages are taken as they fill and given back at the end.
+        held, size = np.empty(HELD_TOKENS + SENT_TOKENS, np.int64), 0
+        for batch in batches:
+            for one in values(batch.column(0)):
                 tokens = shingles(lower_words_of(one), hashes)
                 if (own := xxhash.xxh3_64_intdigest(tokens.tobytes())) in seen:
                     continue
                 seen.add(own)
-                held.append(tokens)
+                if size + len(tokens) > len(held):
+                    held = np.concatenate([held[:size], tokens])
+                held[size : size + len(tokens)] = tokens
                 size += len(tokens)
-                if size > 6_000_000:
-                    yield merged()
-                    held, size, seen = [], 0, set()
-        if held:
-            yield merged()
+                if size > HELD_TOKENS:
+                    yield from repeated_tokens(held[:size])
+                    size, seen = 0, set()
+        yield from repeated_tokens(held[:size])
 
     rows = (
         docs.select(text)
@@ -132,7 +136,7 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             sizes, prints, prefixes = [], [], []
-            for one in batch.column(2).to_pylist():
+            for one in values(batch.column(2)):
                 tokens = shingles(lower_words_of(one), hashes)
                 n = len(tokens)
                 sizes.append(n)
@@ -141,7 +145,7 @@ def document_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     rank = np.where(hot[at] == tokens, place[at], 0)
                     tokens = tokens[np.argsort(rank, kind="stable")]
-                prefixes.append(tokens[: n // 5 + 1] if n else tokens)
+                prefixes.append(tokens[: n // 5 + 1].copy())  # a slice would hold the whole set
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -238,7 +242,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for u, v, a, b in zip(*(column.to_pylist() for column in batch.columns)):
+            for u, v, a, b in zip(*map(values, batch.columns)):
                 x, y = tokens(v, b), tokens(u, a)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
@@ -253,7 +257,7 @@ def packed_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Dat
     @F.arrow_udf("binary")
     def pack(texts: pa.Array) -> pa.Array:
         press = zstandard.ZstdCompressor(level=1)
-        return pa.array([press.compress(b" ".join(lower_words_of(one))) for one in texts.to_pylist()], pa.binary())
+        return pa.array([press.compress(b" ".join(lower_words_of(one))) for one in values(texts)], pa.binary())
 
     rows = docs.select(F.col(key).cast("bigint").alias("rep"), F.xxhash64(text).alias("rep_key"), F.col(text).alias("text"))
     # Rows with the same id and text are the same to us.
@@ -325,24 +329,26 @@ def all_links(lists: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def rooted_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``jaccard_groups`` with the ``root`` that names each group, also where ids do not; null for empty sets."""
-    rows = written(document_sets(docs, key, text), "sets")
-    grouped = (
-        rows.filter("n > 0")
-        .groupBy("print")
-        .agg(
-            F.min("id").alias("least_id"),
-            F.min(F.struct("id", "text_key")).alias("rep"),
-            F.first("n").alias("n"),
-            F.first("prefix").alias("prefix"),
+    # Texts reach Python in batches of a bounded size, not of 10,000 rows.
+    with settings(docs.sparkSession, {ARROW_BYTES: str(BATCH_BYTES)}):
+        rows = written(document_sets(docs, key, text), "sets")
+        grouped = (
+            rows.filter("n > 0")
+            .groupBy("print")
+            .agg(
+                F.min("id").alias("least_id"),
+                F.min(F.struct("id", "text_key")).alias("rep"),
+                F.first("n").alias("n"),
+                F.first("prefix").alias("prefix"),
+            )
+            .withColumn("cid", F.monotonically_increasing_id())
         )
-        .withColumn("cid", F.monotonically_increasing_id())
-    )
-    classes = written(grouped, "classes")
-    lists = written(shared_lists(classes), "lists")
-    wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.id", "rep.text_key")
-    texts = written(packed_texts(docs, key, text, wanted.toDF("cid", "rep", "rep_key")), "texts")
+        classes = written(grouped, "classes")
+        lists = written(shared_lists(classes), "lists")
+        wanted = classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.id", "rep.text_key")
+        texts = written(packed_texts(docs, key, text, wanted.toDF("cid", "rep", "rep_key")), "texts")
 
-    _, roots = all_links(lists, texts)
+        _, roots = all_links(lists, texts)
 
     named = classes.select("print", "cid", "least_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))

@@ -10,6 +10,8 @@ its key's slot in the broadcast table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,9 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int | None = Non
         raise ValueError("name 1 to 65,000 distinct shards")
     size = table_size(len(shards), slots)
     count = len(shards)
-    named = spark.createDataFrame([(k, name) for k, name in enumerate(shards)], "at int, name string")
+    # One literal: rows made in Python would start workers on the executors to turn them.
+    listed = F.from_json(F.lit(json.dumps(shards)), "array<string>")
+    named = spark.range(0, 1, 1, 1).select(F.posexplode(listed).alias("at", "name"))
     orders = named.select(
         "at",
         (hashed(F.col("name"), "start:") % size).alias("start"),
